@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from copse.llm import bpe, chat, exact_dedup, langid, packing, quality, simhash
+from copse.llm import bpe, chat, exact_dedup, langid, packing, pii, quality, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_packing": packing.op2_packing,
     "op3_langid": langid.op3_langid,
+    "op5_pii": pii.op5_pii,
     "op7_quality": quality.op7_quality,
     "op8_simhash": simhash.op8_simhash,
     "op9_chat": chat.op9_chat,
