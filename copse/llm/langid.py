@@ -33,7 +33,7 @@ MAX_ROWS = 2400
 #: Steps of the fit.
 STEPS = 150
 #: Score under which a text is ambiguous.
-AMBIGUOUS = 0.6
+AMBIGUOUS = 0.5
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of lower-case UTF-8 that stay; all others are one gap.
