@@ -1,0 +1,104 @@
+"""Labels, shredding and structural predicates, against brute force on random trees and on a document of protein entries."""
+
+from __future__ import annotations
+
+import random
+from pathlib import Path
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from copse.functions.cnf import Ref, cnf
+from copse.functions.interval import Label, relation
+from copse.sources.schema import faulty
+from copse.sources.xml import shred, shred_html, shred_xml
+
+ENTRIES = Path(__file__).parent / "fixtures" / "entries.xml"
+
+
+def well_formed(rows: list[list]) -> None:
+    """Every label once, children inside parents, levels one more than the parent's, ancestors complete."""
+    by_start = {r[0]: r for r in rows}
+    assert sorted(x for r in rows for x in r[:2]) == list(range(1, 2 * len(rows) + 1))
+    for start, end, level, _, _, parent, ancestors in rows:
+        around = sorted(a for a, r in by_start.items() if a < start and r[1] > end)
+        assert ancestors == around and level == len(around) + 1
+        assert parent == (around[-1] if around else None)
+
+
+def test_entries_have_the_known_labels():
+    rows = shred_xml(ENTRIES.read_text())
+    well_formed(rows)
+    assert len(rows) == 502
+    assert (rows[0][0], rows[0][1], rows[0][2], rows[0][3]) == (1, 1004, 1, "root")
+    assert [sum(r[2] == k for r in rows) for k in range(1, 8)] == [1, 3, 92, 187, 163, 55, 1]
+    assert sum(r[2] - 1 for r in rows) == 1681
+    assert [(r[3], r[0], r[1], r[2]) for r in rows[1:6]] == [("Entry", 2, 409, 2), ("class", 3, 6, 3), ("STAND", 4, 5, 4), ("id", 7, 10, 3), ("100K_", 8, 9, 4)]
+    assert len({r[3] for r in rows}) == 178 and len({r[3].lower() for r in rows}) == 174
+    assert sum(r[3] == "type" for r in rows) == 9
+    assert sum("INTER" <= r[3] <= "root" for r in rows) == 245
+
+
+def test_shredding_rules():
+    rows = shred_xml('<longrootname skipped="1"> <child b="  xyz" a="123456">  some text <!-- gone --> more</child><![CDATA[ raw ]]></longrootname>')
+    assert [(r[3], r[2], r[4]) for r in rows] == [("longrootname", 1, "element"), ("child", 2, "element"), ("a", 3, "attribute"), ("12345", 4, "value"), ("b", 3, "attribute"), ("  xyz", 4, "value"), ("some ", 3, "text"), ("more", 3, "text"), ("raw", 2, "text")]
+    with pytest.raises(Exception, match="mismatched|not well-formed|no element"):
+        shred_xml("<a><b></a>")
+
+
+def test_tag_soup():
+    rows = shred_html("<p>one<br>two<script>if (a < b) x</script><ul><li>x<li>y</ul></div>tail")
+    well_formed(rows)
+    assert [r[3] for r in rows] == ["page", "p", "one", "br", "two", "script", "ul", "li", "x", "li", "y", "tail"]
+    well_formed(shred_html(""))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.recursive(st.just([]), lambda kids: st.lists(kids, max_size=4), max_leaves=25))
+def test_labels_of_random_trees(tree):
+    write = lambda t: "<n>" + "".join(map(write, t)) + "</n>"
+    rows = shred_xml(write(tree))
+    well_formed(rows)
+    # the closed form gives the same labels
+    size = {r[0]: sum(r[0] <= s[0] and s[1] <= r[1] for s in rows) for r in rows}
+    for pre, r in enumerate(rows, 1):
+        assert r[0] == 2 * pre - r[2] and r[1] == r[0] + 2 * size[r[0]] - 1
+
+
+def test_shred_on_spark(spark):
+    docs = spark.createDataFrame([(1, ENTRIES.read_text()), (2, "<a><b/></a>"), (3, ""), (4, None), (2, "<a><b/></a>")], "doc_id long, text string")
+    nodes = shred(docs)
+    assert {(r["doc_id"], r["n"]) for r in nodes.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {(1, 502), (2, 4)}
+    assert faulty(nodes).count() == 0
+    assert shred(docs.filter("doc_id > 9")).count() == 0
+
+
+def test_relations(spark):
+    rng = random.Random(1)
+    rows = [(a, b, c) for a, b, c in ((rng.randint(1, 9), rng.randint(1, 9), rng.randint(1, 3)) for _ in range(60)) if a < b]
+    df = spark.createDataFrame([(1, *x, *y) for x in rows for y in rows], "d long, s1 int, e1 int, l1 int, s2 int, e2 int, l2 int")
+    one, two = (Label(F.col("d"), F.col(f"s{i}"), F.col(f"e{i}"), F.col(f"l{i}")) for i in (1, 2))
+    for r in df.withColumn("code", relation(one, two)).collect():
+        inside = r.s1 < r.s2 and r.e1 > r.e2
+        outside = r.s2 < r.s1 and r.e2 > r.e1
+        want = (9 if r.l2 == r.l1 + 1 else 1) if inside else (10 if r.l1 == r.l2 + 1 else 2) if outside else 4 if (r.s1, r.e1) == (r.s2, r.e2) else 0 if r.e1 < r.s2 or r.s1 > r.e2 else 3
+        assert r.code == want
+
+
+def test_cnf(spark):
+    df = spark.createDataFrame([(1, "a", 1.5), (2, "B", 2.5), (3, "c", None)], "i int, s string, x double")
+    ids = lambda clauses: [r.i for r in df.filter(cnf(clauses)).orderBy("i").collect()]
+    assert ids(None) == [1, 2, 3]
+    assert ids([[(Ref("i"), "<", 2), (Ref("s"), "=", "c")]]) == [1, 3]
+    assert ids([[(Ref("i"), ">=", 2)], [(Ref("x"), "<=", 2.5)]]) == [2]
+    assert ids([[(Ref("s"), "=", "b", True)]]) == [2]
+    assert ids([[(Ref("i"), "between", (2, 3))]]) == [2, 3]
+    assert ids([[(Ref("i"), "!=", 2)], [(Ref("x"), ">", Ref("i"))]]) == [1]
+    with pytest.raises(ValueError):
+        cnf([[]])
+    with pytest.raises(ValueError):
+        cnf([[(Ref("i"), "~", 1)]])
+    with pytest.raises(ValueError):
+        cnf([[(Ref("i"), "parent", 1)]])
