@@ -271,15 +271,15 @@ class WordBPE:
                 if len(chunks) > CACHE // 2:
                     out.append(self.encode(texts[i]))
                     continue
-                new, held = set(chunks) - self.known.keys(), len(chunks)
+                new, held = set(chunks), len(chunks)
                 for more in plain[i + 1 :]:
                     if held + len(more or ()) > CACHE // 2:
                         break
                     held += len(more or ())
                     new.update(more or ())
-                self.fill(new - self.known.keys())
-                if not self.known.keys() >= set(chunks):  # a new generation began meanwhile
-                    self.fill(set(chunks) - self.known.keys())
+                self.fill({c for c in new if c not in self.known})
+                if missing := {c for c in chunks if c not in self.known}:  # a new generation began meanwhile
+                    self.fill(missing)
                 packed = b"".join(map(self.known.__getitem__, chunks))
             out.append(np.frombuffer(packed, self.kind).tolist())
         return out
