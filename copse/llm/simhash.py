@@ -348,15 +348,15 @@ HOT, HOT_ROWS = 1000, 1000
 
 
 def assign(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of a stored table (doc_id, fp)."""
+    """(doc_id, fp, label, component_id) for each row of a stored table (doc_id, fp). label is a component's least fingerprint, which no two components share, as they may share a doc_id."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(near_pairs(nodes.select("fp"), radius))
     labelled = nodes.join(roots, nodes["fp"] == roots["v"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = materialise(labelled.join(least, "label").select("fp", "n", "component_id"), "simhash-named")
-    hot = named.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "fp").limit(HOT).select("fp", "component_id")
-    settled = prints.join(F.broadcast(hot), "fp").select("doc_id", "fp", "component_id")
-    rest = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = materialise(labelled.join(least, "label").select("fp", "n", "label", "component_id"), "simhash-named")
+    hot = named.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "fp").limit(HOT).select("fp", "label", "component_id")
+    settled = prints.join(F.broadcast(hot), "fp").select("doc_id", "fp", "label", "component_id")
+    rest = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.select("fp", "label", "component_id"), "fp").select("doc_id", "fp", "label", "component_id")
     return settled.unionByName(rest)
 
 
@@ -382,7 +382,7 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, doc_id:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.view(np.int64))], [*b.schema.names, name])
 
     full = docs.mapInArrow(run, schema).withColumn(key, F.col(doc_id).cast("long"))
-    winners = assigned.filter(keep).groupBy("component_id").agg(F.min("fp").alias("w_fp")).select(F.col("component_id").alias("w_id"), "w_fp")
+    winners = assigned.filter(keep).groupBy("label").agg(F.min("fp").alias("w_fp"), F.first("component_id").alias("w_id")).select("w_id", "w_fp")
     return full.join(winners, full[key].eqNullSafe(F.col("w_id")) & (full[name] == F.col("w_fp")), "left_semi").dropDuplicates([key, name]).drop(key, name)
 
 
