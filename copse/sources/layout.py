@@ -16,10 +16,9 @@ from copse.functions.interval import Label, is_child, is_descendant, same
 from copse.sources.schema import NODE
 
 
-def store_by_tag(nodes: DataFrame, path: str, tags: int = 64) -> DataFrame:
-    """For trees with few tags; each tag's rows are spread over as many files as their documents ask for."""
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(8))
-    nodes.repartition("tag", spread).sortWithinPartitions("tag", "doc_id", "start").write.partitionBy("tag").mode("overwrite").parquet(path)
+def store_by_tag(nodes: DataFrame, path: str) -> DataFrame:
+    """For trees with few tags. Rows are rebalanced by tag: a frequent tag is split over as many tasks and files as its size asks for."""
+    nodes.hint("rebalance", "tag").sortWithinPartitions("tag", "doc_id", "start").write.partitionBy("tag").mode("overwrite").parquet(path)
     return read_nodes(nodes.sparkSession, path)
 
 
