@@ -53,6 +53,8 @@ BOILERPLATE = frozenset(
 )
 #: Words that mark a main container, whatever else its class says.
 MAIN = frozenset("article main content post entry story body text".split())
+#: Words that make a class say what else the page has, as in with-sidebar.
+_STATES = frozenset("has with no without is".split())
 _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -64,9 +66,11 @@ class _Open:
         self.tag, self.path, self.skip, self.block = tag, path, skip, block
 
 
-def _boilerplate(tag: str, attributes: dict[str, str], inside_main: bool) -> bool:
+def _boilerplate(tag: str, attributes: dict[str, str], inside_main: bool, by_name: bool) -> bool:
     if tag in SKIPPED or (tag == "header" and not inside_main) or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
+    if not by_name:
+        return False
     if tag in ("html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6") and not attributes.get("role"):
         words = set(_WORDS.findall(attributes.get("class", "").lower() + " " + attributes.get("id", "").lower()))
         return tag not in ("html", "body", "article", "main") and bool(words & BOILERPLATE) and not words & MAIN
@@ -75,13 +79,20 @@ def _boilerplate(tag: str, attributes: dict[str, str], inside_main: bool) -> boo
         return False
     for name in said.split():
         words = _WORDS.findall(name)
-        if words and set(words) & BOILERPLATE and not (words[-1] in MAIN and words[0] not in ("comment", "comments", "sidebar", "footer", "nav", "cookie", "ad", "ads")):
+        if words and set(words) & BOILERPLATE and not (words[0] in MAIN and words[-1] in MAIN) and words[0] not in _STATES:
             return True
     return "display:none" in attributes.get("style", "").replace(" ", "").lower()
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(paths of the containers around it, text, characters inside links) of each block outside boilerplate, in order."""
+    """(paths of the containers around it, text, characters inside links) of each block outside boilerplate, in order.
+
+    Where classes and ids would leave nothing of a page, only tags count.
+    """
+    return _blocks(page, True) or _blocks(page, False)
+
+
+def _blocks(page: str, by_name: bool) -> list[tuple[tuple[str, ...], str, int]]:
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[_Open] = []
     text: list[str] = []
@@ -165,7 +176,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             flush()
         if inner.endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
-        skip = _boilerplate(tag, attributes, mains > 0)
+        skip = _boilerplate(tag, attributes, mains > 0, by_name)
         path = ""
         if tag in CONTAINERS and not skipping and not skip:
             name = _DIGITS.sub("#", ".".join([tag, *sorted(attributes.get("class", "").lower().split())]))

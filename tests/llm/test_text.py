@@ -246,6 +246,11 @@ def test_layouts(layout):
     assert text == "T\nFirst & bold text. More.\nSecond é x\none\ntwo\nq"
 
 
+def test_names_of_containers():
+    assert html.extract(html.blocks('<div class="with-sidebar"><div class="promo-text">Buy.</div><div class="post-body">Own text.</div></div>'), None) == "Own text."
+    assert html.extract(html.blocks('<div class="sidebar"><p>All there is.</p><nav>Menu</nav></div>'), None) == "All there is."
+
+
 def test_hosts_agree_on_a_path(spark):
     """A page whose own best container is another one follows its host."""
     rows = [(i, f"http://a.fr/{i}", page(f"<p>{'Text of the page, number %d. ' % i * 20}</p>", 1)) for i in range(12)]
