@@ -32,3 +32,9 @@ def get(table: DataFrame, **key) -> DataFrame:
 
 def count(table: DataFrame) -> int:
     return table.count()
+
+
+def materialise(table: DataFrame, path: str) -> DataFrame:
+    """Stores a result and reads it back, so that what follows doesn't compute it again, and lost executors cost nothing."""
+    table.write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)

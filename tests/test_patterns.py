@@ -152,3 +152,13 @@ def test_wildcards_and_closing_rules(nodes):
     assert match(nodes, upward).count() == match(nodes, Pattern(("*", "*", "Muell"), (Rule(1, 2, "AD"), Rule(2, 3, "PC")))).count() > 0
     closing = Pattern(("root", "Ref", "Autho"), (Rule(1, 2, "AD"), Rule(2, 3, "PC"), Rule(1, 3, "AD")))
     assert match(nodes, closing).count() == match(nodes, Pattern(("root", "Ref", "Autho"), (Rule(1, 2, "AD"), Rule(2, 3, "PC")))).count() == 20
+
+
+def test_batch_run(spark, tmp_path):
+    from copse.__main__ import run
+
+    (tmp_path / "p5.txt").write_text("4 root Ref Autho Muell 1 2 AD 2 3 PC 3 4 PC")
+    (tmp_path / "query").write_text("ptree_1: p5\noperation: SRT 2\nbuf_size: 5")
+    out = run(spark, str(ENTRIES), str(tmp_path / "query"))
+    assert "2 records returned by SRT, 4 nodes each" in out and out.count("--Muell") == 2
+    assert "2 records returned by SEL" in run(spark, str(ENTRIES), str(tmp_path / "p5.txt"))

@@ -92,12 +92,13 @@ def test_sort_and_ranges(spark):
     assert rel.distinct(df.select("s").unionByName(df.select("s"))).count() == 6
 
 
-def test_records(spark):
+def test_records(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "i int, s string")
     assert table.count(table.insert(df, df)) == 6
     assert [r.i for r in table.delete(df, F.col("s") == "a").orderBy("i").collect()] == [2, 3]
     assert [r.s for r in table.update(df, F.col("s") == "a", {"s": F.lit("z")}).orderBy("i").collect()] == ["z", "b", None]
     assert table.get(df, i=2).first()["s"] == "b"
+    assert sorted(table.materialise(df, str(tmp_path / "t")).collect(), key=lambda r: r.i) == df.orderBy("i").collect()
     with pytest.raises(ValueError):
         table.update(df, F.lit(True), {"no": F.lit(1)})
 
