@@ -16,7 +16,6 @@ predicted alike; an empty table gives an empty result. Columns of other names ar
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,6 @@ STEPS = 150
 #: Score under which a text is ambiguous.
 AMBIGUOUS = 0.5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of lower-case UTF-8 that stay; all others are one gap.
 _KEEP = np.zeros(256, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
@@ -105,7 +103,7 @@ class Model:
         return out / n[:, None] + self.bias
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        spoken = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        spoken = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         if spoken and self.langs:
             f = self.margins([texts[i] for i in spoken])
