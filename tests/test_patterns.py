@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from copse.operators import witness
 from copse.operators.structural import STRATEGIES, pairs
@@ -47,6 +48,24 @@ def nodes(spark):
     return shred(spark.createDataFrame([(1, ENTRIES.read_text())], "doc_id long, text string")).persist()
 
 
+#: Rows of each pattern on two smaller documents, as documents 1 and 2.
+SMALLER = {"p1": (1, 1), "p2": (13, 13), "p3": (0, 0), "p4": (0, 0), "p5": (2, 0), "p6": (0, 0), "p7": (0, 0), "p8": (0, 0), "p9": (18, 0), "q1": (13, 13), "q2": (39, 39), "q3": (13, 13), "q4": (3, 3), "q5": (2, 0), "q6": (0, 0)}
+
+
+@pytest.fixture(scope="module")
+def smaller(spark):
+    texts = [(i, (ENTRIES.parent / f"{name}.xml").read_text()) for i, name in enumerate(("one_entry", "cut_entry"), 1)]
+    return shred(spark.createDataFrame(texts, "doc_id long, text string")).persist()
+
+
+def test_smaller_documents(smaller):
+    """Two documents in one table: matches never cross from one to the other."""
+    assert {(r["doc_id"], r["n"], r["deep"], r["pairs"]) for r in smaller.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("level").alias("deep"), F.sum(F.col("level") - 1).alias("pairs")).collect()} == {(1, 200, 7, 687), (2, 63, 5, 170)}
+    for name, want in SMALLER.items():
+        got = {r["doc_id"]: r["count"] for r in match(smaller, pattern(name)).groupBy("doc_id").count().collect()}
+        assert (got.get(1, 0), got.get(2, 0)) == want, name
+
+
 def rows(df) -> list:
     return sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
 
