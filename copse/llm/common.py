@@ -9,14 +9,11 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: bytes.translate table that lower-cases A-Z only.
 LOWER_TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: White space of the word contracts: space and U+0009 to U+000D.
-SPACES = " \t\n\x0b\x0c\r"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,7 +70,3 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped[app] = True
-
-
-def text_or_empty(df: DataFrame, column: str = "text"):
-    return F.coalesce(df[column].cast("string"), F.lit(""))

@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +61,7 @@ def _summary(k: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            v = pa.compute.value_counts(b.column(0))
+            v = pc.value_counts(b.column(0))
             for d, c in zip(v.field("values").to_pylist(), v.field("counts").to_pylist(), strict=True):
                 counts[d] = counts.get(d, 0) + c
             counts = merge_counts(counts, k)
@@ -75,8 +76,6 @@ def heavy_hitters(digests: DataFrame, k: int = COUNTERS) -> DataFrame:
     A merged counter falls short of the true count by N / (k + 1) at most, so the k largest counters hold them all.
     """
     ship(digests.sparkSession)
-    import pyarrow.compute  # noqa: F401  the summary uses it
-
     least = digests.select("digest").mapInArrow(_summary(k), "digest binary, least long").groupBy("digest").agg(F.sum("least").alias("least"))
     candidates = least.orderBy(F.desc("least"), "digest").limit(k).select("digest")
     counted = digests.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))

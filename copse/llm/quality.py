@@ -87,7 +87,7 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     df = (
         df.withColumn("n_words", F.size(w).cast("long"))
         .withColumn("word_chars", F.length(F.concat_ws("", F.col(w))).cast("long"))
-        .withColumn("n_symbols", F.regexp_count(F.col(t), F.lit("[#*$%&|<>]")).cast("long"))
+        .withColumn("n_symbols", F.regexp_count(F.col(t), F.lit(f"[{SYMBOLS}]")).cast("long"))
         .withColumn("n_dup_lines", bound(full(F.col(lines)), lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long")))
         .withColumn("n_repeat_words", repeated_words(F.col(w)))
         .withColumn("n_lost", F.aggregate(F.zip_with(lines, bad, lambda x, b: F.when(b, F.length(x)).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x))
@@ -118,7 +118,7 @@ c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
 p AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM c WHERE n > 1),
 n AS (SELECT r, sum(least(5, coalesce(j - i, 5))) AS n FROM p GROUP BY r),
 m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
-        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS n_symbols,
         len(list_filter(ls, lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')))) AS n_dup_lines,
         CAST(coalesce(n.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS n_chars,
         coalesce(list_sum(list_transform(list_filter(ls, lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]') AND (
