@@ -13,6 +13,9 @@ buckets are first thinned: what lies within the radius of a pivot joins the pivo
 one component need no comparison. Buckets of more than TILE nodes are cut into tiles, and pairs of tiles are separate
 tasks. A task gives back a forest of links, not all pairs; components follow by alternating star contraction.
 
+dedup() takes five-word shingles and 128 bits: the first 64 are compared as above with a wider radius, and a link also
+needs the other 64 to be near. Two unlike texts then never link, however many there are, while most near copies do.
+
 Defined results: texts without a word have fingerprint zero and link like any other; null counts as empty; repeated
 doc_ids are separate rows with the same component; a null doc_id never names a component unless the component has no
 other; an empty table gives an empty result; further columns pass through dedup() untouched.
@@ -45,11 +48,14 @@ BUCKET = 4096
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Of UTF-8 text. Hashes are counted in bounded portions, so long texts need no more memory than their words."""
+def fingerprint(text: bytes, shingle: int = SHINGLE, wide: bool = False) -> tuple[int, int]:
+    """Of UTF-8 text: the 64-bit fingerprint and, if wide, 64 more bits (else 0); wide ones are made of XXH3's 128 bits.
+
+    Hashes are counted in bounded portions, so long texts need no more memory than their words.
+    """
     words = _WORD.findall(text.translate(LOWER_TABLE))
     if not words:
-        return 0
+        return 0, 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -57,30 +63,33 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
         starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    h, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    size = 16 if wide else 8
+    h, counts = xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest, np.zeros(8 * size, np.int64)
     for at in range(0, len(starts), 8192):
-        hashes = np.array([h(joined[a:b], seed) for a, b in zip(starts[at : at + 8192].tolist(), ends[at : at + 8192].tolist(), strict=True)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+        hashes = b"".join([h(joined[a:b], SEED) for a, b in zip(starts[at : at + 8192].tolist(), ends[at : at + 8192].tolist(), strict=True)])
+        # digests are big-endian: their last byte has the lowest bits
+        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, size)[:, ::-1], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    bits = np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")
+    return int(bits[0]), int(bits[1]) if wide else 0
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, wide: bool, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from copse.llm.simhash import fingerprint
 
         for b in batches:
-            texts = b.column(b.num_columns - 1).cast(pa.binary())
-            out = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out.view(np.int64))], [*b.schema.names[:-1], "fp"])
+            texts = b.column(b.schema.get_field_index(text)).cast(pa.binary())
+            both = np.array([fingerprint(t.as_py() or b"", shingle, wide) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(both[:, 0]), pa.array(both[:, 1])], [*b.schema.names, "fp", "more"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
+    """(doc_id, fp, more): the fingerprint and its further bits as signed 64-bit integers."""
     ship(docs.sparkSession)
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return rows.mapInArrow(_fingerprints(shingle, wide, "text"), "doc_id long, text string, fp long, more long").drop("text")
 
 
 class Forest:
@@ -178,7 +187,12 @@ def shifted(p: np.ndarray, shift: int, words: int) -> np.ndarray:
     return (low >> np.uint64(r)) | (high << np.uint64(64 - r))
 
 
-def link_small(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, forest: Forest, radius: int = RADIUS) -> None:
+def agree(more: np.ndarray | None, i, j, check: int) -> np.ndarray:
+    """Whether the further bits of nodes i and j differ in check places at most."""
+    return np.ones(np.broadcast(i, j).shape, bool) if more is None else np.bitwise_count(more[i] ^ more[j]) <= check
+
+
+def link_small(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, forest: Forest, radius: int = RADIUS, more: np.ndarray | None = None, check: int = 64) -> None:
     """Joins what lies within the radius inside each bucket. Buckets lie one after the other, the largest first."""
     after = np.repeat(starts + sizes, sizes) - 1 - np.arange(len(fps))  # rows of the same bucket that follow
     p, falling = planes(fps), -np.repeat(sizes, sizes)
@@ -188,11 +202,12 @@ def link_small(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, forest: F
         ok = np.zeros(words * 64, np.uint8)
         ok[:reach] = after[:reach] >= shift
         lanes = np.packbits(ok, bitorder="little").view("<u8")
-        for i in lanes_of(within(p[:, :words], shifted(p, shift, words), lanes, radius)).tolist():
+        near = lanes_of(within(p[:, :words], shifted(p, shift, words), lanes, radius))
+        for i in near[agree(more, near, near + shift, check)].tolist():
             forest.join(i, i + shift)
 
 
-def link_large(fps: np.ndarray, first: int, forest: Forest, radius: int = RADIUS) -> None:
+def link_large(fps: np.ndarray, first: int, forest: Forest, radius: int = RADIUS, more: np.ndarray | None = None, check: int = 64) -> None:
     """The same for one large bucket, whose row 0 is the forest's member first.
 
     A search from a pivot takes whatever lies within the radius of a member, so a component that is found whole is
@@ -215,6 +230,7 @@ def link_large(fps: np.ndarray, first: int, forest: Forest, radius: int = RADIUS
             continue
         one = np.where((fps[i] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) == 1, ones, np.uint64(0))[:, None]
         near = lanes_of(within(np.broadcast_to(one, p.shape), p, np.packbits(ok, bitorder="little").view("<u8"), radius))
+        near = near[agree(more, i, rows[near], check)]
         if len(near):
             ok[near] = 0
             held -= len(near)
@@ -236,18 +252,18 @@ SMALL = 2048
 HELD = 1 << 17
 
 
-def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, more: np.ndarray | None = None, check: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links inside buckets that lie one after the other: (root, member) of each row that is no root."""
     starts = np.cumsum(sizes) - sizes
     forest = Forest(len(fps))
     for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        link_large(fps[a : a + n], a, forest, radius)
+        link_large(fps[a : a + n], a, forest, radius, None if more is None else more[a : a + n], check)
     order = np.argsort(-sizes, kind="stable")
     order = order[(sizes[order] <= SMALL) & (sizes[order] > 1)]
     if len(order):
         at = np.concatenate([np.arange(a, a + n) for a, n in zip(starts[order].tolist(), sizes[order].tolist(), strict=True)])
         inner = Forest(len(at))
-        link_small(fps[at], np.cumsum(sizes[order]) - sizes[order], sizes[order], inner, radius)
+        link_small(fps[at], np.cumsum(sizes[order]) - sizes[order], sizes[order], inner, radius, None if more is None else more[at], check)
         roots = inner.roots()
         for i in np.flatnonzero(roots != np.arange(len(at))).tolist():
             forest.join(int(at[roots[i]]), int(at[i]))
@@ -256,12 +272,13 @@ def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.
     return fps[roots[moved]], fps[moved]
 
 
-def _links(radius: int):
+def _links(radius: int, check: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from copse.llm.simhash import HELD, links
 
-        def done(fps: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
-            a, b = links(fps.view(np.uint64), np.diff(np.concatenate([[0], cut, [len(fps)]])), radius)
+        def done(keys: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
+            fps, more = keys[3].view(np.uint64), keys[4].view(np.uint64)
+            a, b = links(fps, np.diff(np.concatenate([[0], cut, [len(fps)]])), radius, None if check is None else more, check or 0)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         held: list[tuple] = []
@@ -270,17 +287,17 @@ def _links(radius: int):
             held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
             n += batch.num_rows
             if n >= HELD:
-                keys = [np.concatenate([h[c] for h in held]) for c in range(4)]
+                keys = [np.concatenate([h[c] for h in held]) for c in range(5)]
                 change = np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0) | (np.diff(keys[2]) != 0)) + 1
                 if len(change):  # the last bucket may go on in the next batch
-                    yield done(keys[3][: change[-1]], change[:-1])
+                    yield done([k[: change[-1]] for k in keys], change[:-1])
                     held = [tuple(k[change[-1] :] for k in keys)]
                     n = len(held[0][0])
                 else:
                     held = [tuple(keys)]
         if n:
-            keys = [np.concatenate([h[c] for h in held]) for c in range(4)]
-            yield done(keys[3], np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0) | (np.diff(keys[2]) != 0)) + 1)
+            keys = [np.concatenate([h[c] for h in held]) for c in range(5)]
+            yield done(keys, np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0) | (np.diff(keys[2]) != 0)) + 1)
 
     return run
 
@@ -299,12 +316,12 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): a forest, in each bucket, of the links between the fingerprints fp of nodes, which are distinct."""
+def near_pairs(nodes: DataFrame, radius: int = RADIUS, check: int | None = None) -> DataFrame:
+    """(a, b): a forest, in each bucket, of the links between the fingerprints fp of nodes (fp, more), which are distinct."""
     ship(nodes.sparkSession)
     masks = key_masks(nodes.count(), radius)
     keys = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for i, m in enumerate(masks)])
-    dealt = nodes.select("fp", F.explode(keys).alias("key")).select(F.col("key.c").alias("c"), F.col("key.k").alias("k"), "fp")
+    dealt = nodes.select("fp", "more", F.explode(keys).alias("key")).select(F.col("key.c").alias("c"), F.col("key.k").alias("k"), "fp", "more")
     hot = materialise(dealt.groupBy("c", "k").count().filter(F.col("count") > TILE).select(F.col("c").alias("hc"), F.col("k").alias("hk"), F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "simhash-hot")
     pair = F.lit(0).cast("long")
     if hot.isEmpty():
@@ -313,9 +330,9 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         mine, other = F.pmod(F.xxhash64("fp"), F.col("tiles")), F.col("other").cast("long")
         dealt = dealt.join(hot, (F.col("c") == F.col("hc")) & (F.col("k") == F.col("hk")), "left")
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1)))
-        dealt = dealt.select("c", "k", F.when(F.col("tiles").isNull(), pair).otherwise(F.least(mine, other) * 2**31 + F.greatest(mine, other)).alias("pair"), "fp")
-    sorted_ = dealt.select("c", "k", "pair", "fp").repartition("c", "k", "pair").sortWithinPartitions("c", "k", "pair")
-    return sorted_.mapInArrow(_links(radius), "a long, b long")
+        dealt = dealt.select("c", "k", F.when(F.col("tiles").isNull(), pair).otherwise(F.least(mine, other) * 2**31 + F.greatest(mine, other)).alias("pair"), "fp", "more")
+    sorted_ = dealt.select("c", "k", "pair", "fp", "more").repartition("c", "k", "pair").sortWithinPartitions("c", "k", "pair")
+    return sorted_.mapInArrow(_links(radius, check), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -347,10 +364,13 @@ def components(edges: DataFrame) -> DataFrame:
 HOT, HOT_ROWS = 1000, 1000
 
 
-def assign(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, label, component_id) for each row of a stored table (doc_id, fp). label is a component's least fingerprint, which no two components share, as they may share a doc_id."""
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
-    roots = components(near_pairs(nodes.select("fp"), radius))
+def assign(prints: DataFrame, radius: int = RADIUS, check: int | None = None) -> DataFrame:
+    """(doc_id, fp, label, component_id) for each row of a stored table (doc_id, fp, more).
+
+    check: links must also differ in so many of the further bits at most. label is a component's least fingerprint, which no two components share, as they may share a doc_id.
+    """
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("more").alias("more"), F.count("*").alias("n")), "simhash-nodes")
+    roots = components(near_pairs(nodes.select("fp", "more"), radius, check))
     labelled = nodes.join(roots, nodes["fp"] == roots["v"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     named = materialise(labelled.join(least, "label").select("fp", "n", "label", "component_id"), "simhash-named")
@@ -360,30 +380,28 @@ def assign(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return settled.unionByName(rest)
 
 
-def dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component stays: the row with its least doc_id, of several such rows one with the least fingerprint."""
+def dedup(docs: DataFrame, shingle: int = 5, radius: int = 7, check: int | None = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component stays: the row with its least doc_id, of several such rows one with the least fingerprint.
+
+    With check, fingerprints have 128 bits: the first 64 must differ in radius places at most, the others in check places.
+    The wider radius finds more near copies, and the check keeps unlike texts apart, however many documents there are.
+    """
     ship(docs.sparkSession)
-    prints = materialise(fingerprints(docs, shingle, doc_id, text), "simhash-prints")
-    assigned = materialise(assign(prints, radius), "simhash-assigned")
+    wide = check is not None
+    prints = materialise(fingerprints(docs, shingle, doc_id, text, wide), "simhash-prints")
+    assigned = materialise(assign(prints, radius, check), "simhash-assigned")
     keep = F.col("doc_id").eqNullSafe(F.col("component_id"))
     if prints.groupBy("doc_id").count().filter("count > 1").isEmpty():
         losers = assigned.filter(~keep).select(F.col("doc_id").alias("l_id"))
         return docs.join(losers, docs[doc_id].cast("long").eqNullSafe(F.col("l_id")), "left_anti")
     # doc_ids repeat: fingerprints tell their rows apart
-    name, key = free_name(docs.columns, "fp"), free_name(docs.columns, "id")
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from copse.llm.simhash import fingerprint
-
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text)).cast(pa.binary())
-            out = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.view(np.int64))], [*b.schema.names, name])
-
-    full = docs.mapInArrow(run, schema).withColumn(key, F.col(doc_id).cast("long"))
+    name, rest, key = (free_name(docs.columns, x) for x in ("fp", "more", "id"))
+    inner = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    schema = T.StructType([*inner.schema.fields, T.StructField("fp", T.LongType()), T.StructField("more", T.LongType())])
+    full = inner.mapInArrow(_fingerprints(shingle, wide, f"c{docs.columns.index(text)}"), schema).toDF(*docs.columns, name, rest)
+    full = full.withColumn(key, F.col(doc_id).cast("long"))
     winners = assigned.filter(keep).groupBy("label").agg(F.min("fp").alias("w_fp"), F.first("component_id").alias("w_id")).select("w_id", "w_fp")
-    return full.join(winners, full[key].eqNullSafe(F.col("w_id")) & (full[name] == F.col("w_fp")), "left_semi").dropDuplicates([key, name]).drop(key, name)
+    return full.join(winners, full[key].eqNullSafe(F.col("w_id")) & (full[name] == F.col("w_fp")), "left_semi").dropDuplicates([key, name]).drop(key, name, rest)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

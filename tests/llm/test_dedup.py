@@ -124,11 +124,38 @@ def test_hot_bucket_is_cut_into_tiles(spark, monkeypatch):
     rng = random.Random(3)
     base = rng.getrandbits(64)
     fps = sorted({base ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 9))) & (2**64 - 1) for _ in range(400)})
-    prints = spark.createDataFrame([(i, simhash.signed(f & (2**64 - 1))) for i, f in enumerate(fps)], "doc_id long, fp long").persist()
+    prints = spark.createDataFrame([(i, simhash.signed(f & (2**64 - 1)), 0) for i, f in enumerate(fps)], "doc_id long, fp long, more long").persist()
     roots = brute_components([f & (2**64 - 1) for f in fps])
     assert {(r["doc_id"], r["component_id"]) for r in simhash.assign(prints).collect()} == set(enumerate(roots))
 
 
+def test_further_bits_keep_unlike_texts_apart():
+    rng = np.random.default_rng(9)
+    fps = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    fps[1::2] = fps[::2] ^ np.uint64(0b111)
+    more = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    more[1::4] = more[::4]
+    for sizes in ([3000], [2] * 1500):
+        a, b = simhash.links(fps, np.array(sizes), 7, more, 16)
+        assert set(b.tolist()) == set(fps[1::4].tolist())
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """Single words changed in texts of a few hundred words; texts of the same vocabulary that only share words stay."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeiounrst") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    texts = [[rng.choice(words) for _ in range(rng.randint(250, 500))] for _ in range(120)]
+    copies = []
+    for t in texts[:60]:
+        c = list(t)
+        c[rng.randrange(len(c))] = "changed"
+        copies.append(c)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + copies)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.dedup(docs).collect()}
+    assert set(range(120)) <= kept
+    assert len(kept - set(range(120))) <= 6
+
+
 def test_key_masks_leave_no_pair_out():
     for n in (10, 10**9, 10**12):
         masks = simhash.key_masks(n)
@@ -146,7 +173,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_near_dedup_keeps_one_of_each_component(spark, hard):
     wide = hard.withColumn("fp", F.lit("mine"))
-    got = simhash.dedup(wide)
+    got = simhash.dedup(wide, 4, 4, None)
     assert got.columns == wide.columns
     rows = [(r["doc_id"], r["text"]) for r in hard.collect()]
     roots = brute_components([brute_fingerprint(t) for _, t in rows])
@@ -154,4 +181,4 @@ def test_near_dedup_keeps_one_of_each_component(spark, hard):
     unique = hard.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = sorted((r["doc_id"], r["text"]) for r in unique.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect())
     roots = brute_components([brute_fingerprint(t) for _, t in rows])
-    assert sorted(r["doc_id"] for r in simhash.dedup(unique).collect()) == sorted({rows[r][0] for r in roots})
+    assert sorted(r["doc_id"] for r in simhash.dedup(unique, 4, 4, None).collect()) == sorted({rows[r][0] for r in roots})
