@@ -13,8 +13,8 @@ buckets are first thinned: what lies within the radius of a pivot joins the pivo
 one component need no comparison. Buckets of more than TILE nodes are cut into tiles, and pairs of tiles are separate
 tasks. A task gives back a forest of links, not all pairs; components follow by alternating star contraction.
 
-dedup() takes five-word shingles and 128 bits: the first 64 are compared as above with a wider radius, and a link also
-needs the other 64 to be near. Two unlike texts then never link, however many there are, while most near copies do.
+dedup() takes five-word shingles and 128 bits: either half of them is compared as above with a wider radius, and a link
+also needs the other half to be near. Two unlike texts then never link, however many there are, while most near copies do.
 
 Defined results: texts without a word have fingerprint zero and link like any other; null counts as empty; repeated
 doc_ids are separate rows with the same component; a null doc_id never names a component unless the component has no
@@ -253,7 +253,7 @@ HELD = 1 << 17
 
 
 def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, more: np.ndarray | None = None, check: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links inside buckets that lie one after the other: (root, member) of each row that is no root."""
+    """A forest of the links inside buckets that lie one after the other: the places (root, member) of each row that is no root."""
     starts = np.cumsum(sizes) - sizes
     forest = Forest(len(fps))
     for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
@@ -269,7 +269,7 @@ def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, more: np.nda
             forest.join(int(at[roots[i]]), int(at[i]))
     roots = forest.roots()
     moved = np.flatnonzero(roots != np.arange(len(fps)))
-    return fps[roots[moved]], fps[moved]
+    return roots[moved], moved
 
 
 def _links(radius: int, check: int | None):
@@ -279,7 +279,8 @@ def _links(radius: int, check: int | None):
         def done(keys: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
             fps, more = keys[3].view(np.uint64), keys[4].view(np.uint64)
             a, b = links(fps, np.diff(np.concatenate([[0], cut, [len(fps)]])), radius, None if check is None else more, check or 0)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            a, b = keys[5][a], keys[5][b]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         held: list[tuple] = []
         n = 0
@@ -287,7 +288,7 @@ def _links(radius: int, check: int | None):
             held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
             n += batch.num_rows
             if n >= HELD:
-                keys = [np.concatenate([h[c] for h in held]) for c in range(5)]
+                keys = [np.concatenate([h[c] for h in held]) for c in range(6)]
                 change = np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0) | (np.diff(keys[2]) != 0)) + 1
                 if len(change):  # the last bucket may go on in the next batch
                     yield done([k[: change[-1]] for k in keys], change[:-1])
@@ -296,7 +297,7 @@ def _links(radius: int, check: int | None):
                 else:
                     held = [tuple(keys)]
         if n:
-            keys = [np.concatenate([h[c] for h in held]) for c in range(5)]
+            keys = [np.concatenate([h[c] for h in held]) for c in range(6)]
             yield done(keys, np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0) | (np.diff(keys[2]) != 0)) + 1)
 
     return run
@@ -317,11 +318,15 @@ def signed(x: int) -> int:
 
 
 def near_pairs(nodes: DataFrame, radius: int = RADIUS, check: int | None = None) -> DataFrame:
-    """(a, b): a forest, in each bucket, of the links between the fingerprints fp of nodes (fp, more), which are distinct."""
+    """(a, b): a forest, in each bucket, of the links between nodes (fp, more), whose fp are distinct.
+
+    With check, the further bits are compared within the radius, too, and the first ones then checked: either half can link.
+    """
     ship(nodes.sparkSession)
     masks = key_masks(nodes.count(), radius)
-    keys = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for i, m in enumerate(masks)])
-    dealt = nodes.select("fp", "more", F.explode(keys).alias("key")).select(F.col("key.c").alias("c"), F.col("key.k").alias("k"), "fp", "more")
+    halves = [("fp", "more")] if check is None else [("fp", "more"), ("more", "fp")]
+    keys = [F.struct(F.lit(i + len(masks) * h).alias("c"), F.col(x).bitwiseAND(F.lit(signed(m))).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")) for h, (x, y) in enumerate(halves) for i, m in enumerate(masks)]
+    dealt = nodes.select("fp", F.explode(F.array(*keys)).alias("key")).select("key.c", "key.k", "key.x", "key.y", "fp")
     hot = materialise(dealt.groupBy("c", "k").count().filter(F.col("count") > TILE).select(F.col("c").alias("hc"), F.col("k").alias("hk"), F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "simhash-hot")
     pair = F.lit(0).cast("long")
     if hot.isEmpty():
@@ -330,8 +335,8 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, check: int | None = None)
         mine, other = F.pmod(F.xxhash64("fp"), F.col("tiles")), F.col("other").cast("long")
         dealt = dealt.join(hot, (F.col("c") == F.col("hc")) & (F.col("k") == F.col("hk")), "left")
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1)))
-        dealt = dealt.select("c", "k", F.when(F.col("tiles").isNull(), pair).otherwise(F.least(mine, other) * 2**31 + F.greatest(mine, other)).alias("pair"), "fp", "more")
-    sorted_ = dealt.select("c", "k", "pair", "fp", "more").repartition("c", "k", "pair").sortWithinPartitions("c", "k", "pair")
+        dealt = dealt.select("c", "k", F.when(F.col("tiles").isNull(), pair).otherwise(F.least(mine, other) * 2**31 + F.greatest(mine, other)).alias("pair"), "x", "y", "fp")
+    sorted_ = dealt.select("c", "k", "pair", "x", "y", "fp").repartition("c", "k", "pair").sortWithinPartitions("c", "k", "pair")
     return sorted_.mapInArrow(_links(radius, check), "a long, b long")
 
 
@@ -383,7 +388,7 @@ def assign(prints: DataFrame, radius: int = RADIUS, check: int | None = None) ->
 def dedup(docs: DataFrame, shingle: int = 5, radius: int = 7, check: int | None = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component stays: the row with its least doc_id, of several such rows one with the least fingerprint.
 
-    With check, fingerprints have 128 bits: the first 64 must differ in radius places at most, the others in check places.
+    With check, fingerprints have 128 bits: one half must differ in radius places at most, the other half in check places.
     The wider radius finds more near copies, and the check keeps unlike texts apart, however many documents there are.
     """
     ship(docs.sparkSession)

@@ -101,7 +101,7 @@ def test_bucket_links_are_the_components(seed):
             for b in rng.integers(0, 64, rng.integers(0, 6)):
                 v ^= 1 << int(b)
             fps[i] = v
-    a, b = simhash.links(fps, np.array(sizes))
+    a, b = (fps[x] for x in simhash.links(fps, np.array(sizes)))
     at, want = 0, []
     for n in sizes:
         part = fps[at : at + n]
@@ -136,8 +136,8 @@ def test_further_bits_keep_unlike_texts_apart():
     more = rng.integers(0, 2**64, 3000, dtype=np.uint64)
     more[1::4] = more[::4]
     for sizes in ([3000], [2] * 1500):
-        a, b = simhash.links(fps, np.array(sizes), 7, more, 16)
-        assert set(b.tolist()) == set(fps[1::4].tolist())
+        _, b = simhash.links(fps, np.array(sizes), 7, more, 16)
+        assert set(b.tolist()) == set(range(1, 3000, 4))
 
 
 def test_near_copies_go_and_others_stay(spark):
