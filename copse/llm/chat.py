@@ -1,14 +1,16 @@
 """Chat formatting of reply trees with DataFrame functions only.
 
-A message names the message that it answers. Starting at the roots, iterative self-joins lengthen every partial path
-by one reply, until only root-to-leaf paths are left; branches are ranked by score, and each chosen path becomes one
-formatted conversation. Only keys travel through the joins; texts are joined to the chosen paths at the end.
+A message names the message that it answers. Iterative self-joins find each message's ancestors 1, 2, 4, ... steps up,
+and from them enumerate the root-to-leaf paths, so that a thread of n replies takes about 2 log2(n) joins; branches are
+ranked by score, and each chosen path becomes one formatted conversation. Only keys travel through the joins; texts are
+joined to the chosen paths at the end.
 
 Template: `<turn ROLE>TEXT</turn>` and a line feed for each turn, where & < > # inside roles and texts are written as
 character references, so no text can end or open a turn and unescape() gives it back exactly. The loss mask holds the
 spans (code points of the formatted text, end exclusive) of the escaped assistant texts.
 
-Defined results: null texts and roles are empty; messages with equal order are taken by role, then text; a message
+Defined results: null texts and roles are empty; turns with equal order are taken by role, then text; of rows with one
+message number the least (parent, role, text) counts; a message
 whose parent is missing from its conversation is a root; messages on a cycle, which no root reaches, have no path;
 rows without a conversation id form one conversation; an empty table gives an empty result.
 """
@@ -37,54 +39,80 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def jumps(keyed: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Ancestors by powers of two, and depths, of stored messages (conv_id, msg, parent).
+
+    The k-th table (c, m, a) has the ancestor a of message m that is 2 ** k steps up. Each round joins the last table with
+    itself, so a conversation of n messages takes log2(n) rounds. Depths (c, m, depth) leave out messages that no root
+    reaches.
+    """
+    messages = keyed.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("parent").alias("p"))
+    known = messages.select(F.col("c").alias("kc"), F.col("m").alias("km"))
+    linked = messages.join(known, F.col("c").eqNullSafe(F.col("kc")) & (F.col("p") == F.col("km")), "left")
+    state = materialise(linked.select("c", "m", F.col("km").alias("a"), F.when(F.col("km").isNull(), 0).otherwise(1).cast("long").alias("depth")), "chat-jumps")
+    longest = keyed.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    tables = []
+    for _ in range(int(longest).bit_length()):
+        tables.append(state.select("c", "m", "a").filter("a IS NOT NULL"))
+        if tables[-1].isEmpty():
+            tables.pop()
+            break
+        up = state.select(F.col("c").alias("uc"), F.col("m").alias("um"), F.col("a").alias("ua"), F.col("depth").alias("ud"))
+        joined = state.join(up, F.col("c").eqNullSafe(F.col("uc")) & (F.col("a") == F.col("um")), "left")
+        state = materialise(joined.select("c", "m", F.col("ua").alias("a"), (F.col("depth") + F.coalesce("ud", F.lit(0))).alias("depth")), "chat-jumps")
+    return tables, state.filter("a IS NULL").select("c", "m", "depth")
+
+
 def paths(messages: DataFrame) -> DataFrame:
-    """(conv_id, leaf, path, score): every root-to-leaf path of messages (conv_id, msg, parent, score).
+    """(conv_id, leaf, at, msg): the messages of every root-to-leaf path of messages (conv_id, msg, parent), at counted from the root.
 
-    path has the message numbers from the root on; a path's score is the sum of its messages' scores. The joins end
-    when no path grows any more, so deep trees take many rounds, each over the paths that still grow.
+    A leaf asks for its whole path of n messages; round by round, from the largest power of two down, a request for more
+    than 2 ** k messages is split in two: the first 2 ** k, and the rest from the ancestor 2 ** k steps up. Nothing but
+    message numbers is joined, and no more rows arise than the paths have.
     """
-    keyed = materialise(messages.select("conv_id", "msg", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "chat-messages")
-    reply = keyed.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("parent").alias("p"), F.col("score").alias("s"))
-    same = keyed["conv_id"].eqNullSafe(reply["c"])
-    rooted = keyed.join(reply, same & (keyed["parent"] == reply["m"]), "left_anti")
-    inner = keyed.join(reply, same & (keyed["msg"] == reply["p"]), "left_semi").select(F.col("conv_id").alias("ic"), F.col("msg").alias("im")).distinct().withColumn("grows", F.lit(True))
-    grown = rooted.select("conv_id", F.col("msg").alias("leaf"), F.array("msg").alias("path"), "score")
-    done = None
-    while True:
-        marked = materialise(grown.join(inner, grown["conv_id"].eqNullSafe(inner["ic"]) & (grown["leaf"] == inner["im"]), "left").select("conv_id", "leaf", "path", "score", F.coalesce("grows", F.lit(False)).alias("grows")), "chat-paths")
-        ended = marked.filter(~F.col("grows")).drop("grows")
-        done = ended if done is None else done.unionByName(ended)
-        growing = marked.filter("grows")
-        if growing.isEmpty():
-            return done
-        grown = growing.join(reply, growing["conv_id"].eqNullSafe(reply["c"]) & (growing["leaf"] == reply["p"])).select("conv_id", F.col("m").alias("leaf"), F.concat("path", F.array("m")).alias("path"), (F.col("score") + F.col("s")).alias("score"))
+    keyed = materialise(messages.select("conv_id", "msg", "parent"), "chat-keys")
+    tables, depths = jumps(keyed)
+    answered = keyed.filter("parent IS NOT NULL").select(F.col("conv_id").alias("ac"), F.col("parent").alias("ap")).distinct()
+    leaves = depths.join(answered, F.col("c").eqNullSafe(F.col("ac")) & (F.col("m") == F.col("ap")), "left_anti")
+    wanted = leaves.select("c", F.col("m").alias("leaf"), "m", F.col("depth").alias("at"), (F.col("depth") + 1).alias("n"))
+    for k in reversed(range(len(tables))):
+        wanted = materialise(wanted, "chat-wanted")
+        up = tables[k].select(F.col("c").alias("uc"), F.col("m").alias("um"), F.col("a").alias("ua"))
+        long = wanted.filter(F.col("n") > 1 << k)
+        rest = long.join(up, F.col("c").eqNullSafe(F.col("uc")) & (F.col("m") == F.col("um"))).select("c", "leaf", F.col("ua").alias("m"), (F.col("at") - (1 << k)).alias("at"), (F.col("n") - (1 << k)).alias("n"))
+        wanted = wanted.withColumn("n", F.least("n", F.lit(1 << k))).unionByName(rest)
+    return wanted.select(F.col("c").alias("conv_id"), "leaf", "at", F.col("m").alias("msg"))
 
 
 def format_chats(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """(conv_id, branch, score, n_turns, formatted, loss): the best branches of each reply tree, all of them if None.
 
-    messages: conv_id, msg (number, unique in its conversation), parent (number or null), role, text, score.
+    messages: conv_id, msg (a number), parent (number or null), role, text, score. A path's score is the sum of its
+    messages' scores, null counting as 0; equal ones go by length, then by leaf.
     """
-    found = paths(messages)
-    rank = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.size("path").desc(), "leaf")
-    chosen = found.withColumn("branch", F.row_number().over(rank).cast("long"))
+    one = messages.groupBy("conv_id", "msg").agg(F.min(F.struct("parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))).alias("x"))
+    one = materialise(one.select("conv_id", "msg", "x.*"), "chat-messages")
+    turns = materialise(paths(one), "chat-paths")
+    scores = one.select(F.col("conv_id").alias("sc"), F.col("msg").alias("sm"), F.col("score").alias("s"))
+    scored = turns.join(scores, turns["conv_id"].eqNullSafe(scores["sc"]) & (turns["msg"] == scores["sm"]))
+    totals = scored.groupBy("conv_id", "leaf").agg(F.sum("s").alias("score"), F.count("*").alias("n"))
+    rank = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("n"), "leaf")
+    chosen = totals.withColumn("branch", F.row_number().over(rank).cast("long"))
     if branches is not None:
         chosen = chosen.filter(F.col("branch") <= branches)
-    turns = chosen.select("conv_id", "branch", "score", F.posexplode("path").alias("at", "msg"))
-    texts = messages.select(F.col("conv_id").alias("tc"), F.col("msg").alias("tm"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    joined = turns.join(texts, turns["conv_id"].eqNullSafe(texts["tc"]) & (turns["msg"] == texts["tm"]))
+    chosen = chosen.select(F.col("conv_id").alias("cc"), F.col("leaf").alias("cl"), "branch", "score")
+    picked = turns.join(chosen, turns["conv_id"].eqNullSafe(chosen["cc"]) & (turns["leaf"] == chosen["cl"])).select("conv_id", "branch", "score", "at", "msg")
+    texts = one.select(F.col("conv_id").alias("tc"), F.col("msg").alias("tm"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    joined = picked.join(texts, picked["conv_id"].eqNullSafe(texts["tc"]) & (picked["msg"] == texts["tm"]))
     role = F.coalesce("role", F.lit(""))
     head, body = F.concat(F.lit("<turn "), escape(role), F.lit(">")), escape(F.col("text"))
     piece = joined.select("conv_id", "branch", "score", "at", F.concat(head, body, F.lit("</turn>\n")).alias("shown"), F.length(head).alias("head"), F.length(body).alias("body"), (role == LEARNED).alias("learned"))
-    parts = piece.groupBy("conv_id", "branch").agg(F.first("score").alias("score"), F.sort_array(F.collect_list(F.struct("at", "shown", "head", "body", "learned"))).alias("parts"))
-
-    def lengthen(a: Column, x: Column) -> Column:
-        start = a["n"] + x["head"]
-        span = F.array(F.struct(start.cast("long").alias("start"), (start + x["body"]).cast("long").alias("end")))
-        return F.struct((a["n"] + F.length(x["shown"])).cast("long").alias("n"), F.when(x["learned"], F.concat(a["loss"], span)).otherwise(a["loss"]).alias("loss"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("loss"))
-    return parts.select("conv_id", "branch", "score", F.size("parts").cast("long").alias("n_turns"), F.concat_ws("", F.transform("parts", lambda x: x["shown"])).alias("formatted"), F.aggregate("parts", zero, lengthen)["loss"].alias("loss"))
+    before = Window.partitionBy("conv_id", "branch").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    piece = piece.withColumn("begin", F.coalesce(F.sum(F.length("shown")).over(before), F.lit(0)))
+    parts = piece.groupBy("conv_id", "branch").agg(F.first("score").alias("score"), F.sort_array(F.collect_list(F.struct("at", "shown", "head", "body", "learned", "begin"))).alias("parts"))
+    span = lambda x: F.struct((x["begin"] + x["head"]).alias("start"), (x["begin"] + x["head"] + x["body"]).alias("end"))
+    loss = F.transform(F.filter("parts", lambda x: x["learned"]), span)
+    return parts.select("conv_id", "branch", "score", F.size("parts").cast("long").alias("n_turns"), F.concat_ws("", F.transform("parts", lambda x: x["shown"])).alias("formatted"), loss.alias("loss"))
 
 
 def parse(formatted: Column) -> Column:

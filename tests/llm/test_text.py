@@ -274,3 +274,25 @@ def test_pages_of_the_driver(spark, sf_dir):
         parts = [" ".join(entities.unescape(re.sub("</?b>|<br>", lambda m: " " * (m[0] == "<br>"), p)).split()) for p in re.split("</?(?:p|h1)>", body)]
         assert r["text"] == "\n".join(p for p in parts if p)
         assert r["n_chars"] == len(r["text"])
+
+
+def test_long_threads(spark):
+    """Hundreds of replies, with branches far down, are walked in few rounds."""
+    rng = random.Random(6)
+    rows = [(1, i, i - 1 if i else None, "user", str(i), 0.0) for i in range(300)] + [(1, 1000 + i, 250 if i == 0 else 999 + i, "assistant", str(i), 1.0) for i in range(30)]
+    rows += [(c, i, rng.randrange(i) if i else None, "user", f"{c}.{i}", float(rng.randrange(3))) for c in range(2, 12) for i in range(rng.randrange(1, 40))]
+    messages = spark.createDataFrame(rows, "conv_id long, msg int, parent int, role string, text string, score double")
+    parent = {(r[0], r[1]): r[2] for r in rows}
+    text = {(r[0], r[1]): (r[3], r[4]) for r in rows}
+    want = set()
+    for c, m in parent:
+        if (c, m) not in {(r[0], r[2]) for r in rows}:
+            path, at = [], m
+            while at is not None:
+                path.append(text[c, at])
+                at = parent[c, at]
+            want.add((c, tuple(reversed(path))))
+    got = chat.format_chats(messages, None).withColumn("turns", chat.parse(F.col("formatted"))).collect()
+    assert {(r["conv_id"], tuple(map(tuple, r["turns"]))) for r in got} == want and len(got) == len(want)
+    best = {r["conv_id"]: r for r in chat.format_chats(messages).collect()}
+    assert best[1]["n_turns"] == 281 and best[1]["score"] == 30.0
