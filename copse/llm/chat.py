@@ -43,7 +43,8 @@ def jumps(keyed: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Ancestors by powers of two, and depths, of stored messages (conv_id, msg, parent).
 
     The k-th table (c, m, a) has the ancestor a of message m that is 2 ** k steps up. Each round joins the last table with
-    itself, so a conversation of n messages takes log2(n) rounds. Depths (c, m, depth) leave out messages that no root
+    itself, so a conversation of n messages takes log2(n) rounds; messages that have reached a root are done and leave the
+    rounds. Depths (c, m, depth) leave out messages that no root
     reaches.
     """
     messages = keyed.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("parent").alias("p"))
@@ -51,16 +52,16 @@ def jumps(keyed: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     linked = messages.join(known, F.col("c").eqNullSafe(F.col("kc")) & (F.col("p") == F.col("km")), "left")
     state = materialise(linked.select("c", "m", F.col("km").alias("a"), F.when(F.col("km").isNull(), 0).otherwise(1).cast("long").alias("depth")), "chat-jumps")
     longest = keyed.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-    tables = []
+    finished, active, tables = state.filter("a IS NULL"), state.filter("a IS NOT NULL"), []
     for _ in range(int(longest).bit_length()):
-        tables.append(state.select("c", "m", "a").filter("a IS NOT NULL"))
-        if tables[-1].isEmpty():
-            tables.pop()
+        if active.isEmpty():
             break
-        up = state.select(F.col("c").alias("uc"), F.col("m").alias("um"), F.col("a").alias("ua"), F.col("depth").alias("ud"))
-        joined = state.join(up, F.col("c").eqNullSafe(F.col("uc")) & (F.col("a") == F.col("um")), "left")
-        state = materialise(joined.select("c", "m", F.col("ua").alias("a"), (F.col("depth") + F.coalesce("ud", F.lit(0))).alias("depth")), "chat-jumps")
-    return tables, state.filter("a IS NULL").select("c", "m", "depth")
+        tables.append(active.select("c", "m", "a"))
+        up = finished.unionByName(active).select(F.col("c").alias("uc"), F.col("m").alias("um"), F.col("a").alias("ua"), F.col("depth").alias("ud"))
+        joined = active.join(up, F.col("c").eqNullSafe(F.col("uc")) & (F.col("a") == F.col("um")))
+        state = materialise(joined.select("c", "m", F.col("ua").alias("a"), (F.col("depth") + F.col("ud")).alias("depth")), "chat-jumps")
+        finished, active = finished.unionByName(state.filter("a IS NULL")), state.filter("a IS NOT NULL")
+    return tables, finished.select("c", "m", "depth")
 
 
 def paths(messages: DataFrame) -> DataFrame:
