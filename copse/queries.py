@@ -16,13 +16,13 @@ from copse.plans.pattern import Pattern, Rule
 from copse.plans.planner import match, tag_counts
 from copse.plans.query import Query, execute
 from copse.sources import layout, table
-from copse.sources.relational import chat_tree, geo_tree, sales_tree
+from copse.sources.relational import chat_tree, geo_tree, sales_tree, whole_sales_tree
 from copse.sources.xml import shred
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-TREES = {"sales": sales_tree, "geo": geo_tree, "chat": chat_tree}
+TREES = {"sales": sales_tree, "geo": geo_tree, "chat": chat_tree, "whole_sales": whole_sales_tree}
 
 # SQL of the trees ------------------------------------------------------------------------------------------------
 
@@ -61,6 +61,11 @@ placed_rows(doc_id, a, b, leaf, tag) AS (
   UNION ALL SELECT conv_id, turn, NULL, 1, role FROM turns),
 """,
 }
+#: A line node for each row of lineitem.
+_ROWS["whole_sales"] = _ROWS["sales"].replace(
+    "ln AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2)",
+    "ln AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, l_returnflag NULLS FIRST) AS l_linenumber, l_returnflag AS flag FROM lineitem)",
+)
 
 
 def tree_sql(tree: str, body: str) -> str:
@@ -118,6 +123,12 @@ def label_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales_tree(spark, sf_dir).select("doc_id", "start", "end", "level", "tag", F.coalesce("parent_start", F.lit(0)).alias("parent_start"))
 
 
+@query(tree_sql("whole_sales", 'SELECT c.doc_id, c."start", c."end", c.level, c.tag, coalesce(p."start", 0) AS parent_start FROM nodes c LEFT JOIN nodes p ON p.doc_id = c.doc_id AND p."start" < c."start" AND p."end" > c."end" AND p.level = c.level - 1'))
+def whole_label_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a line node for each row of lineitem."""
+    return whole_sales_tree(spark, sf_dir).select("doc_id", "start", "end", "level", "tag", F.coalesce("parent_start", F.lit(0)).alias("parent_start"))
+
+
 @query(tree_sql("sales", f"SELECT {_FIVE} FROM nodes WHERE tag = 'order'"))
 def tag_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return five(layout.by_tag(nodes(spark, sf_dir), "order"))
@@ -158,6 +169,11 @@ def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+@query(tree_sql("whole_sales", "SELECT tag, count(*) AS n FROM nodes GROUP BY tag"))
+def whole_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes(spark, sf_dir, "whole_sales").groupBy("tag").agg(F.count("*").alias("n"))
+
+
 @query(
     tree_sql(
         "sales",
@@ -180,15 +196,16 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EIGHT = ", ".join(f'n{i}."{p}" AS {p}_{i}' for i in (1, 2) for p in ("start", "end", "level", "tag"))
 
 
-def _pairs(name: str, upper: str, lower: str, axis: str, strategy: str) -> None:
+def _pairs(name: str, upper: str, lower: str, axis: str, strategy: str, tree: str = "sales") -> None:
     step = " AND n2.level = n1.level + 1" if axis == "PC" else ""
     sql = f'SELECT n1.doc_id, {_EIGHT} FROM nodes n1 JOIN nodes n2 ON n1.doc_id = n2.doc_id AND n1."start" < n2."start" AND n1."end" > n2."end"{step} WHERE n1.tag = \'{upper}\' AND n2.tag = \'{lower}\''
-    _register(name, lambda spark, sf_dir: structural.pairs(nodes(spark, sf_dir), upper, lower, axis, strategy), tree_sql("sales", sql))
+    _register(name, lambda spark, sf_dir: structural.pairs(nodes(spark, sf_dir, tree), upper, lower, axis, strategy), tree_sql(tree, sql))
 
 
 for _strategy in structural.STRATEGIES:
     _pairs(f"pc_join_{_strategy}", "customer", "order", "PC", _strategy)
     _pairs(f"ad_join_{_strategy}", "customer", "flag=R", "AD", _strategy)
+    _pairs(f"whole_ad_join_{_strategy}", "customer", "flag=R", "AD", _strategy, "whole_sales")
 
 
 @query(tree_sql("sales", f'SELECT n1.doc_id, {_EIGHT} FROM nodes n1 JOIN nodes n2 ON n1.doc_id = n2.doc_id AND n1."start" = n2."start" AND n1."end" = n2."end" WHERE n1.level = 2 AND n2.tag = \'order\''))
@@ -223,6 +240,8 @@ _twig("twig_repeated_tag", TWICE)
 _twig("twig_closing_rule", CYCLE)
 _twig("twig_chat", pattern("chat turn assistant", "1 2 PC", "2 3 PC"), "chat")
 _twig("twig_single", pattern("customer"))
+for _name, _p in (("chain", CHAIN), ("branch", BRANCH), ("wildcard", WILD), ("repeated_tag", TWICE), ("closing_rule", CYCLE)):
+    _twig(f"whole_twig_{_name}", _p, "whole_sales")
 
 
 @query(tree_sql("sales", twig_sql(BRANCH)))

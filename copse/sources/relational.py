@@ -40,15 +40,31 @@ def label(rows: DataFrame, keys: list[str], leaf: str) -> DataFrame:
 def sales_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document a customer: customer > order > line, with leaves for segment, status, priority and return flag.
 
-    Lines are distinct by order and number; of rows with one number, the least flag counts.
+    Lines are distinct by order and number; of rows with one number, the least flag counts, and the others are no nodes.
+    whole_sales_tree() keeps them.
     """
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("n")).agg(F.min("l_returnflag").alias("flag"))
+    return _sales(spark, sf_dir, lines)
+
+
+def whole_sales_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a line node for each row of lineitem, numbered in its order by line number and flag.
+
+    Rows that are equal in both give equal nodes, so labels don't depend on the order of the rows.
+    """
+    place = Window.partitionBy("l_orderkey").orderBy(F.col("l_linenumber").asc_nulls_first(), F.col("l_returnflag").asc_nulls_first())
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.row_number().over(place).cast("long").alias("n"), F.col("l_returnflag").alias("flag"))
+    return _sales(spark, sf_dir, lines)
+
+
+def _sales(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """The tree of lines (l_orderkey, n, flag) and what is above them."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     none = F.lit(None).cast("long")
     shape = lambda df, o, line, leaf, tag, kind: df.select(F.col("doc_id"), o.alias("o"), line.alias("l"), leaf.cast("int").alias("leaf"), tag.alias("tag"), F.lit(kind).alias("kind"))
     customer = read("customer").select(F.col("c_custkey").alias("doc_id"), "c_mktsegment")
     orders = read("orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", "o_orderstatus", "o_orderpriority")
-    lines = read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"))
-    lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("doc_id", "o_orderkey", F.col("l_linenumber").cast("long").alias("n"), "flag")
+    lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("doc_id", "o_orderkey", "n", "flag")
     o, n = F.col("o_orderkey"), F.col("n")
     parts = [
         shape(customer, none, none, none, F.lit("customer"), "element"),
@@ -63,8 +79,9 @@ def sales_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document a conversation: chat > turn > role."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy(F.col("conv_id").alias("doc_id"), "turn").agg(F.min("role").alias("role"))
+    """One document a conversation: chat > turn > role. Each row is a turn; those with one number come in the order of their roles."""
+    place = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.row_number().over(place).alias("turn"), "role")
     none = F.lit(None)
     shape = lambda df, turn, leaf, tag, kind: df.select("doc_id", turn.cast("long").alias("turn"), leaf.cast("int").alias("leaf"), tag.alias("tag"), F.lit(kind).alias("kind"))
     parts = [

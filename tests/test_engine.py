@@ -37,6 +37,18 @@ def test_pages(spark, sf_dir):
     assert {r["tag"]: r["n"] for r in queries.shred_pages(spark, sf_dir).collect()}["page"] == pages
 
 
+def test_every_row_is_a_node(spark, sf_dir, tmp_path):
+    """Rows with one line number, or one turn, are nodes each."""
+    flags = {r["l_returnflag"]: r["count"] for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count().collect()}
+    tags = {r["tag"]: r["n"] for r in queries.whole_tag_histogram(spark, sf_dir).collect()}
+    assert tags["line"] == sum(flags.values())
+    assert {f: tags[f"flag={f}"] for f in flags} == flags
+    turns = [(1, 0, "user"), (1, 0, "user"), (1, 0, "assistant"), (1, 1, None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted((r["start"], r["tag"]) for r in queries.chat_tree(spark, str(tmp_path)).filter("level = 3").collect())
+    assert [t for _, t in got] == ["assistant", "user", "user", ""]
+
+
 def test_structural_joins_never_become_products(spark, sf_dir):
     for name in ("pc_join_equi", "ad_join_equi", "ad_join_labels", "ad_join_bins", "twig_branch", "nj"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
