@@ -7,7 +7,8 @@ is extracted again from the containers on the winning path; a page that has no t
 
 Inside a container, text is cut into blocks at block-level tags; boilerplate containers inside it are left out. In a
 block, character references are decoded, white space becomes one blank and ends are trimmed; blocks are joined by a line
-feed in the order of the page.
+feed in the order of the page. A winning path is first widened to the outermost article, main element or content
+container above it, so titles, leads and sections beside the part with most text stay.
 
 Defined results: null and empty pages give an empty text; broken or unclosed markup is read as far as it goes; pages
 without a host (null url) vote together as host ''; repeated rows give repeated results; an empty table gives an empty
@@ -53,6 +54,8 @@ BOILERPLATE = frozenset(
 )
 #: Words that mark a main container, whatever else its class says.
 MAIN = frozenset("article main content post entry story body text".split())
+#: Those that name the container of a whole article when they end a class.
+_CONTENT = frozenset("article main content post entry story".split())
 #: Words that make a class say what else the page has, as in with-sidebar.
 _STATES = frozenset("has with no without is".split())
 _WORDS = re.compile(r"[a-z]+")
@@ -208,13 +211,28 @@ def score(page_blocks: list[tuple[tuple[str, ...], str, int]]) -> dict[str, floa
     return dict(found)
 
 
+def widened(path: str) -> str:
+    """The outermost article, main or content container on a path of containers, else the path itself.
+
+    A class counts if its last word is that of a main container, as in post-content; content-wrapper may hold a whole page.
+    """
+    parts = path.split(">")
+    for i, part in enumerate(parts, 1):
+        tag, *names = part.split(".")
+        last = [words[-1] for words in map(_WORDS.findall, names) if words]
+        if tag in ("article", "main") or any(w in _CONTENT for w in last):
+            return ">".join(parts[:i])
+    return path
+
+
 def extract(page_blocks: list[tuple[tuple[str, ...], str, int]], path: str | None) -> str:
-    """The blocks in containers on that path, or on the page's own best path if there are none."""
+    """The blocks in containers on that path, widened, or on the page's own best path if there are none."""
+    path = widened(path) if path else None
     picked = [t for c, t, _ in page_blocks if path in c] if path else []
     if not picked and page_blocks:
         own = score(page_blocks)
         if own:
-            best = max(own, key=lambda p: (own[p], p))
+            best = widened(max(own, key=lambda p: (own[p], p)))
             picked = [t for c, t, _ in page_blocks if best in c]
         else:
             picked = [t for _, t, _ in page_blocks]

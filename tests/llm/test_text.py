@@ -251,6 +251,27 @@ def test_names_of_containers():
     assert html.extract(html.blocks('<div class="sidebar"><p>All there is.</p><nav>Menu</nav></div>'), None) == "All there is."
 
 
+NESTED = {
+    "named div": '<article><h1>Title</h1><div class="content"><p>{}</p></div><p>Closing words.</p></article>',
+    "unnamed div": "<article><h1>Title</h1><div><p>{}</p></div><p>Closing words.</p></article>",
+    "sections": '<article><h1>Title</h1><section class="lead"><p>A lead of the article.</p></section><section class="rest"><p>{}</p></section><section class="end"><p>Closing words.</p></section></article>',
+    "main": '<main><h1>Title</h1><article><div class="post-body"><p>{}</p></div></article><p>Closing words.</p></main>',
+    "class": '<div class="page-wrap"><div class="post-content"><h1>Title</h1><div class="text"><p>{}</p></div><p>Closing words.</p></div><div class="misc"><p>Not the article.</p></div></div>',
+}
+
+
+@pytest.mark.parametrize("name", NESTED)
+def test_nested_containers_lose_nothing(spark, name):
+    """Title, lead and closing words stay, whatever nested part holds most of the text."""
+    bodies = [f"Sentence {i} of the text. " * (5 + i) for i in range(6)]
+    rows = [(i, f"http://n.fr/{i}", f"<html><body><nav>Menu</nav>{NESTED[name].format(b)}<footer>end</footer></body></html>") for i, b in enumerate(bodies)]
+    lead = ["A lead of the article."] if name == "sections" else []
+    for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        want = "\n".join(["Title", *lead, bodies[r["page_id"]].strip(), "Closing words."])
+        assert r["text"] == want
+        assert html.extract(html.blocks(rows[r["page_id"]][2]), None) == want
+
+
 def test_hosts_agree_on_a_path(spark):
     """A page whose own best container is another one follows its host."""
     rows = [(i, f"http://a.fr/{i}", page(f"<p>{'Text of the page, number %d. ' % i * 20}</p>", 1)) for i in range(12)]
