@@ -123,6 +123,19 @@ def test_tagger_on_held_out_texts():
     assert right / (right + wrong) > 0.9 and right / (right + missed) > 0.9
 
 
+def test_national_phone_numbers():
+    """Forms of four languages, some of which the tagger was not trained on; other numbers are none."""
+    trained = ["030 12345678", "06 12 34 56 78", "0171/2345678", "612 34 56 78", "020 7946 0958", "07700 900123", "(0131) 496 0123", "(569) 555-6633"]
+    held_out = ["0171 23 45 67 8", "01/23/45/67/89", "01 23 456 789", "912.345.678", "(0171) 234 5678"]
+    contexts = ["please call {} tomorrow", "Tel.: {}", "rufen Sie {} an, bitte", "appelez le {} pour la suite", "llame al {} por favor."]
+    for numbers, least in ((trained, 0.9), (held_out, 0.8)):
+        texts = [(c.format(n), n) for n in numbers for c in contexts]
+        got = pii.all_spans([t for t, _ in texts], pii.default_tagger())
+        assert sum([t[a:b] for k, a, b in spans if k == "phone"] == [n] for (t, n), (_, spans) in zip(texts, got, strict=True)) >= least * len(texts)
+    others = ["in the year 1998 there", "on 12/05/2021 and 2021-03-14 it", "a sum of 1,234,567 dollars", "on page 12 of 340", "version v1.2.34 is out", "at 10:45 today"]
+    assert pii.all_spans(others, pii.default_tagger()) == [([], [])] * len(others)
+
+
 def test_windows_are_reconciled():
     """A span is found wherever it lies on the grid of windows, once."""
     tagger = pii.default_tagger()
