@@ -4,7 +4,7 @@ A fingerprint has a bit for each of 64 places: 1 if set in more than half of the
 word shingles, repeats included. Fingerprints link at RADIUS or fewer differing bits; documents in one connected
 component are near-duplicates of one another.
 
-Equal fingerprints are one node, however many documents share it. Nodes are put into buckets by keys: the 64 bits are
+Equal fingerprints (all bits of them) are one node, however many documents share it. Nodes are put into buckets by keys: the 64 bits are
 cut into blocks, and two fingerprints within the radius agree on all blocks but RADIUS at least, so each choice of that
 many blocks is a key. Inside a task the buckets' fingerprints are stored as 64 bit planes. One pass over the planes
 compares every fingerprint with the one `shift` places further on: differing bits are added up in carry-save counters of
@@ -318,7 +318,7 @@ def signed(x: int) -> int:
 
 
 def near_pairs(nodes: DataFrame, radius: int = RADIUS, check: int | None = None) -> DataFrame:
-    """(a, b): a forest, in each bucket, of the links between nodes (fp, more), whose fp are distinct.
+    """(a, b): a forest, in each bucket, of the links between nodes (id, fp, more), by id.
 
     With check, the further bits are compared within the radius, too, and the first ones then checked: either half can link.
     """
@@ -326,17 +326,17 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, check: int | None = None)
     masks = key_masks(nodes.count(), radius)
     halves = [("fp", "more")] if check is None else [("fp", "more"), ("more", "fp")]
     keys = [F.struct(F.lit(i + len(masks) * h).alias("c"), F.col(x).bitwiseAND(F.lit(signed(m))).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")) for h, (x, y) in enumerate(halves) for i, m in enumerate(masks)]
-    dealt = nodes.select("fp", F.explode(F.array(*keys)).alias("key")).select("key.c", "key.k", "key.x", "key.y", "fp")
+    dealt = nodes.select("id", F.explode(F.array(*keys)).alias("key")).select("key.c", "key.k", "key.x", "key.y", "id")
     hot = materialise(dealt.groupBy("c", "k").count().filter(F.col("count") > TILE).select(F.col("c").alias("hc"), F.col("k").alias("hk"), F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "simhash-hot")
     pair = F.lit(0).cast("long")
     if hot.isEmpty():
         dealt = dealt.withColumn("pair", pair)
     else:
-        mine, other = F.pmod(F.xxhash64("fp"), F.col("tiles")), F.col("other").cast("long")
+        mine, other = F.pmod(F.xxhash64("id"), F.col("tiles")), F.col("other").cast("long")
         dealt = dealt.join(hot, (F.col("c") == F.col("hc")) & (F.col("k") == F.col("hk")), "left")
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1)))
-        dealt = dealt.select("c", "k", F.when(F.col("tiles").isNull(), pair).otherwise(F.least(mine, other) * 2**31 + F.greatest(mine, other)).alias("pair"), "x", "y", "fp")
-    sorted_ = dealt.select("c", "k", "pair", "x", "y", "fp").repartition("c", "k", "pair").sortWithinPartitions("c", "k", "pair")
+        dealt = dealt.select("c", "k", F.when(F.col("tiles").isNull(), pair).otherwise(F.least(mine, other) * 2**31 + F.greatest(mine, other)).alias("pair"), "x", "y", "id")
+    sorted_ = dealt.select("c", "k", "pair", "x", "y", "id").repartition("c", "k", "pair").sortWithinPartitions("c", "k", "pair")
     return sorted_.mapInArrow(_links(radius, check), "a long, b long")
 
 
@@ -365,23 +365,26 @@ def components(edges: DataFrame) -> DataFrame:
         discard(last)
 
 
-#: Fingerprints whose documents find their component by broadcast: the most frequent ones, if they have so many documents.
+#: Nodes whose documents find their component by broadcast: the most frequent ones, if they have so many documents.
 HOT, HOT_ROWS = 1000, 1000
 
 
 def assign(prints: DataFrame, radius: int = RADIUS, check: int | None = None) -> DataFrame:
-    """(doc_id, fp, label, component_id) for each row of a stored table (doc_id, fp, more).
+    """(doc_id, fp, more, label, component_id) for each row of a stored table (doc_id, fp, more).
 
-    check: links must also differ in so many of the further bits at most. label is a component's least fingerprint, which no two components share, as they may share a doc_id.
+    A node is a pair (fp, more), so equal first bits link under the same rule as others. check: links must also differ in
+    so many of the further bits at most. label is the least id of a component's nodes, which no two components share, as they may share a doc_id.
     """
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("more").alias("more"), F.count("*").alias("n")), "simhash-nodes")
-    roots = components(near_pairs(nodes.select("fp", "more"), radius, check))
-    labelled = nodes.join(roots, nodes["fp"] == roots["v"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("label"))
+    grouped = prints.groupBy("fp", "more").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    nodes = materialise(grouped.withColumn("id", F.monotonically_increasing_id()), "simhash-nodes")
+    roots = components(near_pairs(nodes.select("id", "fp", "more"), radius, check))
+    labelled = nodes.join(roots, nodes["id"] == roots["v"], "left").select("fp", "more", "least", "n", F.coalesce("root", "id").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = materialise(labelled.join(least, "label").select("fp", "n", "label", "component_id"), "simhash-named")
-    hot = named.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "fp").limit(HOT).select("fp", "label", "component_id")
-    settled = prints.join(F.broadcast(hot), "fp").select("doc_id", "fp", "label", "component_id")
-    rest = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.select("fp", "label", "component_id"), "fp").select("doc_id", "fp", "label", "component_id")
+    named = materialise(labelled.join(least, "label").select("fp", "more", "n", "label", "component_id"), "simhash-named")
+    hot = named.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "fp", "more").limit(HOT).select("fp", "more", "label", "component_id")
+    both, columns = ["fp", "more"], ["doc_id", "fp", "more", "label", "component_id"]
+    settled = prints.join(F.broadcast(hot), both).select(*columns)
+    rest = prints.join(F.broadcast(hot.select(*both)), both, "left_anti").join(named.select(*columns[1:]), both).select(*columns)
     return settled.unionByName(rest)
 
 
@@ -405,8 +408,9 @@ def dedup(docs: DataFrame, shingle: int = 5, radius: int = 7, check: int | None
     schema = T.StructType([*inner.schema.fields, T.StructField("fp", T.LongType()), T.StructField("more", T.LongType())])
     full = inner.mapInArrow(_fingerprints(shingle, wide, f"c{docs.columns.index(text)}"), schema).toDF(*docs.columns, name, rest)
     full = full.withColumn(key, F.col(doc_id).cast("long"))
-    winners = assigned.filter(keep).groupBy("label").agg(F.min("fp").alias("w_fp"), F.first("component_id").alias("w_id")).select("w_id", "w_fp")
-    return full.join(winners, full[key].eqNullSafe(F.col("w_id")) & (full[name] == F.col("w_fp")), "left_semi").dropDuplicates([key, name]).drop(key, name, rest)
+    winners = assigned.filter(keep).groupBy("label").agg(F.min(F.struct("fp", "more")).alias("w"), F.first("component_id").alias("w_id")).select("w_id", F.col("w.fp").alias("w_fp"), F.col("w.more").alias("w_more"))
+    same = full[key].eqNullSafe(F.col("w_id")) & (full[name] == F.col("w_fp")) & (full[rest] == F.col("w_more"))
+    return full.join(winners, same, "left_semi").dropDuplicates([key, name, rest]).drop(key, name, rest)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,6 +156,49 @@ def test_near_copies_go_and_others_stay(spark):
     assert len(kept - set(range(120))) <= 6
 
 
+def brute_wide_components(prints: list[tuple[int, int]], radius: int = 7, check: int = 16) -> list[int]:
+    label = list(range(len(prints)))
+    while True:
+        before = list(label)
+        for i, (a, b) in enumerate(prints):
+            for j in range(i):
+                x, y = (a ^ prints[j][0]).bit_count(), (b ^ prints[j][1]).bit_count()
+                if min(x, y) <= radius and max(x, y) <= check:
+                    label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            return label
+
+
+def test_equal_first_halves_are_nodes_of_their_own(spark):
+    """B shares A's first half and is near C in the second half only; D and E share the first half and are no copies."""
+    far, x = 0xFFF, 0x0123456789ABCDEF
+    prints = [(0, 0), (0, far), (0x3FF << 20, far ^ (7 << 40)), (x, 0), (x, (1 << 20) - 1)]
+    want = brute_wide_components(prints)
+    assert want == [0, 0, 0, 3, 4]
+    table = spark.createDataFrame([(i, *map(simhash.signed, p)) for i, p in enumerate(prints)], "doc_id long, fp long, more long").persist()
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.assign(table, 7, 16).collect()} == set(enumerate(want))
+
+
+def test_dedup_of_128_bits_by_brute_force(spark):
+    """Chains of edited copies, some of which share half of the bits, short texts, repeated and empty ones, by default parameters."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("aeiounrst") for _ in range(rng.randint(2, 7))) for _ in range(500)]
+    texts = ["", "", "one", "one two three four five six", "one two three four five seven"]
+    for _ in range(40):
+        t = [rng.choice(words) for _ in range(rng.randint(60, 900))]
+        for _ in range(rng.randint(2, 8)):
+            texts.append(" ".join(t))
+            for _ in range(rng.randint(0, 2)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+    prints = [simhash.fingerprint(t.encode(), 5, True) for t in texts]
+    assert sum(a == b and x != y for i, (a, x) in enumerate(prints) for b, y in prints[:i]) > 5
+    roots = brute_wide_components(prints)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.dedup(docs).collect()} == set(roots)
+    twice = docs.unionByName(docs.filter("doc_id % 3 = 0"))
+    assert sorted(r["doc_id"] for r in simhash.dedup(twice).collect()) == sorted(set(roots))
+
+
 def test_key_masks_leave_no_pair_out():
     for n in (10, 10**9, 10**12):
         masks = simhash.key_masks(n)
