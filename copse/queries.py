@@ -191,6 +191,33 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(relation(Label.of(suffix="_1", doc="doc_1"), Label.of(suffix="_2", doc="doc_2")).alias("code")).agg(F.count("*").alias("n"))
 
 
+@query(
+    tree_sql(
+        "whole_sales",
+        """
+SELECT CASE WHEN a."start" < b."start" AND a."end" > b."end" THEN CASE WHEN b.level = a.level + 1 THEN 9 ELSE 1 END
+            WHEN b."start" < a."start" AND b."end" > a."end" THEN CASE WHEN a.level = b.level + 1 THEN 10 ELSE 2 END
+            WHEN a."start" = b."start" AND a."end" = b."end" THEN 4 WHEN a."end" < b."start" OR a."start" > b."end" THEN 0 ELSE 3 END AS code, count(*) AS n
+FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id GROUP BY 1""",
+    )
+)
+def whole_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of nodes of one document, on all levels, have each interval relation."""
+    return relation_counts(nodes(spark, sf_dir, "whole_sales"))
+
+
+def relation_counts(tree: DataFrame) -> DataFrame:
+    """(code, n) of the ordered pairs of nodes of each document, without pairs: a node has a parent at most, its list of
+    ancestors and itself, and what is left of a document's pairs is disjoint. Codes without a pair have no row."""
+    up = F.col("parent_start").isNotNull().cast("long")
+    by_doc = tree.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(up).alias("parents"), F.sum(F.size("ancestors").cast("long") - up).alias("far"))
+    disjoint = F.col("n") * F.col("n") - F.col("n") - 2 * (F.col("parents") + F.col("far"))
+    counts = {0: disjoint, 1: F.col("far"), 2: F.col("far"), 4: F.col("n"), 9: F.col("parents"), 10: F.col("parents")}
+    one = by_doc.agg(*[F.sum(c).alias(f"n_{code}") for code, c in counts.items()])
+    rows = F.array(*[F.struct(F.lit(code).alias("code"), F.col(f"n_{code}").alias("n")) for code in counts])
+    return one.select(F.explode(rows).alias("r")).select("r.*").filter("n > 0")
+
+
 # Structural joins ------------------------------------------------------------------------------------------------
 
 _EIGHT = ", ".join(f'n{i}."{p}" AS {p}_{i}' for i in (1, 2) for p in ("start", "end", "level", "tag"))

@@ -49,6 +49,23 @@ def test_every_row_is_a_node(spark, sf_dir, tmp_path):
     assert [t for _, t in got] == ["assistant", "user", "user", ""]
 
 
+def test_relations_of_all_levels(spark):
+    """Counted without pairs as by comparing all pairs."""
+    pages = ["<a><b><c>x</c><c/></b><b/></a>", "<a/>", "<a><a><a><a>y</a></a></a><b k='1'/></a>"]
+    tree = shred(spark.createDataFrame(list(enumerate(pages)), "doc_id long, text string"))
+    rows = [(r["doc_id"], r["start"], r["end"], r["level"]) for r in tree.collect()]
+    want: dict = {}
+    for d, s1, e1, l1 in rows:
+        for c, s2, e2, l2 in rows:
+            if c == d:
+                inside, outside = s1 < s2 and e1 > e2, s2 < s1 and e2 > e1
+                code = (9 if l2 == l1 + 1 else 1) if inside else (10 if l1 == l2 + 1 else 2) if outside else 4 if s1 == s2 else 0
+                want[code] = want.get(code, 0) + 1
+    assert set(want) == {0, 1, 2, 4, 9, 10}
+    assert {r["code"]: r["n"] for r in queries.relation_counts(tree).collect()} == want
+    assert queries.relation_counts(tree.limit(0)).count() == 0
+
+
 def test_structural_joins_never_become_products(spark, sf_dir):
     for name in ("pc_join_equi", "ad_join_equi", "ad_join_labels", "ad_join_bins", "twig_branch", "nj"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
