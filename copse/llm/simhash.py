@@ -51,6 +51,8 @@ _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 def fingerprint(text: bytes, shingle: int = SHINGLE, wide: bool = False) -> tuple[int, int]:
     """Of UTF-8 text: the 64-bit fingerprint and, if wide, 64 more bits (else 0); wide ones are made of XXH3's 128 bits.
 
+    In wide ones, a bit that is set in just half of the hashes is as in the least hash. Else texts of few shingles would have few bits set, and unlike ones would be near.
+
     Hashes are counted in bounded portions, so long texts need no more memory than their words.
     """
     words = _WORD.findall(text.translate(LOWER_TABLE))
@@ -64,12 +66,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, wide: bool = False) -> tupl
     else:
         starts, ends = starts[:1], ends[-1:]
     size = 16 if wide else 8
-    h, counts = xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest, np.zeros(8 * size, np.int64)
+    h, counts, least = xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest, np.zeros(8 * size, np.int64), b"\xff" * size
     for at in range(0, len(starts), 8192):
-        hashes = b"".join([h(joined[a:b], SEED) for a, b in zip(starts[at : at + 8192].tolist(), ends[at : at + 8192].tolist(), strict=True)])
+        each = [h(joined[a:b], SEED) for a, b in zip(starts[at : at + 8192].tolist(), ends[at : at + 8192].tolist(), strict=True)]
+        least, hashes = min(least, *each) if wide else least, b"".join(each)
         # digests are big-endian: their last byte has the lowest bits
         counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, size)[:, ::-1], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")
+    set_ = 2 * counts > len(starts)
+    if wide:
+        set_ |= (2 * counts == len(starts)) & (np.unpackbits(np.frombuffer(least, np.uint8)[::-1], bitorder="little") == 1)
+    bits = np.packbits(set_, bitorder="little").view("<u8")
     return int(bits[0]), int(bits[1]) if wide else 0
 
 

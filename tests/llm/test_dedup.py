@@ -199,6 +199,15 @@ def test_dedup_of_128_bits_by_brute_force(spark):
     assert sorted(r["doc_id"] for r in simhash.dedup(twice).collect()) == sorted(set(roots))
 
 
+def test_short_texts_spread_over_all_bits():
+    """Unlike texts of two or four shingles differ in half of the bits, as long ones do."""
+    rng = random.Random(2)
+    for n in (6, 8, 300):
+        prints = [simhash.fingerprint(" ".join(str(rng.random()) for _ in range(n)).encode(), 5, True) for _ in range(200)]
+        apart = [(a ^ b).bit_count() for (a, x), (b, y) in zip(prints, prints[1:], strict=False) for a, b in ((a, b), (x, y))]
+        assert 30.5 < sum(apart) / len(apart) < 33.5
+
+
 def test_key_masks_leave_no_pair_out():
     for n in (10, 10**9, 10**12):
         masks = simhash.key_masks(n)
