@@ -445,6 +445,13 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.statistics(read(spark, sf_dir, "nation")).drop("distinct")
 
 
+@query()
+def shred_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole node table of all pages: elements, attributes, values and texts with their labels and parents."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return shred(pages, "html", None).select("doc_id", "start", "end", "level", "tag", "kind", "parent_start")
+
+
 @query()
 def shred_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of all pages, by tag of their elements and level. SQL has no parser for them."""

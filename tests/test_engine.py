@@ -66,6 +66,29 @@ def test_relations_of_all_levels(spark):
     assert queries.relation_counts(tree.limit(0)).count() == 0
 
 
+def test_shredded_nodes_by_brute_force(spark, tmp_path):
+    """Labels, kinds and parents of pages, from walking the same markup by hand."""
+    import html.parser
+
+    pages = {1: '<div id="x" class="y"><p>one</p><p>two <b>three</b></p></div>', 2: "<ul><li>a</li><li>b</li></ul>"}
+    spark.createDataFrame([(i, f"http://a.fr/{i}", h) for i, h in pages.items()], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {i: [r for r in queries.shred_nodes(spark, str(tmp_path)).collect() if r["doc_id"] == i] for i in pages}
+    for i, rows in got.items():
+        names, texts, attributes = [], [], []
+        walker = html.parser.HTMLParser()
+        walker.handle_starttag = lambda tag, a: (names.append(tag), attributes.extend(a))
+        walker.handle_data = lambda d: texts.append(d.strip())
+        walker.feed(pages[i])
+        by_kind = lambda kind: sorted(r["tag"] for r in rows if r["kind"] == kind)  # noqa: E731, B023
+        assert [t for t in by_kind("element") if t != "page"] == sorted(names)
+        assert by_kind("attribute") == sorted(k for k, _ in attributes) and by_kind("value") == sorted(v for _, v in attributes)
+        assert by_kind("text") == sorted(texts)
+        assert sorted(p for r in rows for p in (r["start"], r["end"])) == list(range(1, 2 * len(rows) + 1))
+        for r in rows:
+            around = [x for x in rows if x["start"] < r["start"] and x["end"] > r["end"]]
+            assert r["level"] == len(around) + 1 and r["parent_start"] == max((x["start"] for x in around), default=None)
+
+
 def test_structural_joins_never_become_products(spark, sf_dir):
     for name in ("pc_join_equi", "ad_join_equi", "ad_join_labels", "ad_join_bins", "twig_branch", "nj"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
