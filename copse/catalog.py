@@ -36,9 +36,9 @@ def attributes(spark: SparkSession, name: str) -> list[tuple[str, str]]:
 
 
 def statistics(df: DataFrame) -> DataFrame:
-    """(attribute, tuples, distinct, least, greatest), a row a column, in one pass."""
+    """(attribute, tuples, distinct, least, greatest), a row a column. Distinct values are counted exactly; null is none."""
     simple = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    one = df.agg(F.count("*").alias("n"), *[F.struct(F.approx_count_distinct(c).alias("d"), F.min(c).cast("string").alias("a"), F.max(c).cast("string").alias("b")).alias(f"s_{i}") for i, c in enumerate(simple)])
+    one = df.agg(F.count("*").alias("n"), *[F.struct(F.count_distinct(c).alias("d"), F.min(c).cast("string").alias("a"), F.max(c).cast("string").alias("b")).alias(f"s_{i}") for i, c in enumerate(simple)])
     rows = F.array(*[F.struct(F.lit(c).alias("attribute"), F.col("n").alias("tuples"), F.col(f"s_{i}.d").alias("distinct"), F.col(f"s_{i}.a").alias("least"), F.col(f"s_{i}.b").alias("greatest")) for i, c in enumerate(simple)])
     return one.select(F.explode(rows).alias("r")).select("r.*")
 

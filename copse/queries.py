@@ -445,6 +445,12 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.statistics(read(spark, sf_dir, "nation")).drop("distinct")
 
 
+@query(" UNION ALL ".join(f"SELECT '{c}' AS attribute, count(*) AS tuples, count(DISTINCT {c}) AS \"distinct\" FROM orders" for c in 'o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority'.split()))
+def statistics_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and exact numbers of distinct values of a large table."""
+    return catalog.statistics(read(spark, sf_dir, "orders")).select("attribute", "tuples", "distinct")
+
+
 @query()
 def shred_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole node table of all pages: elements, attributes, values and texts with their labels and parents."""

@@ -103,6 +103,11 @@ def test_records(spark, tmp_path):
         table.update(df, F.lit(True), {"no": F.lit(1)})
 
 
+def test_distinct_values_are_counted_exactly(spark):
+    df = spark.range(50_000).select("id", (F.col("id") % 7919).alias("k"), F.when(F.col("id") > 9, F.col("id")).alias("n"))
+    assert {r["attribute"]: r["distinct"] for r in catalog.statistics(df).collect()} == {"id": 50_000, "k": 7919, "n": 49_990}
+
+
 def test_catalog(spark, tables):
     assert {"sailors", "boats", "reserves"} <= set(catalog.relations(spark))
     assert catalog.attributes(spark, "boats") == [("bid", "int"), ("bname", "string"), ("color", "string")]
