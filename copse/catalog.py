@@ -43,6 +43,22 @@ def statistics(df: DataFrame) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def analyze(df: DataFrame, path: str) -> DataFrame:
+    """Stores the statistics of a table, and reads them back."""
+    statistics(df).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def add_index(df: DataFrame, path: str, *keys: str, folders: bool = False) -> DataFrame:
+    """A copy of any table that look-ups by the keys read little of: sorted by ranges of them, so that Parquet statistics skip
+    row groups and files, or, for few different values, with a folder for each value of the first key."""
+    if folders:
+        df.hint("rebalance", keys[0]).sortWithinPartitions(*keys).write.partitionBy(keys[0]).mode("overwrite").parquet(path)
+    else:
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def io_counters(spark: SparkSession) -> dict[str, int]:
     """Bytes that tasks of this application have read and shuffled so far."""
     out = {"input": 0, "shuffle_read": 0, "shuffle_write": 0}

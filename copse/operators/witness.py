@@ -6,9 +6,11 @@ counts nodes in binding order. Positions i and j of the operators are such k.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from copse.sources.shared import stored
+
 PARTS = ("start", "end", "level", "tag")
 
 
@@ -58,24 +60,39 @@ def sort(witnesses: DataFrame, i: int) -> DataFrame:
     return witnesses.orderBy(*order(witnesses, i))
 
 
+def numbered(table: DataFrame, name: str, *keys: Column) -> DataFrame:
+    """table with its rows' places, from 1, in the order of keys.
+
+    The table is sorted by ranges and stored; a row's place is its place in its part and the rows of the parts before.
+    No task sees more than its part, and only one number a part is added up and broadcast.
+    """
+    at, part, n, before = (f"_{name}_{x}" for x in ("at", "part", "n", "before"))
+    placed = stored(table.orderBy(*keys).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    in_part, which = F.col(at).bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright(F.col(at), 33)
+    sizes = placed.groupBy(which.alias(part)).agg(F.count("*").alias(n))
+    earlier = F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(part, F.coalesce(earlier, F.lit(0)).alias(before))
+    return placed.join(F.broadcast(offsets), which == F.col(part)).withColumn(name, in_part + F.col(before) + 1).drop(at, part, before)
+
+
 def group(witnesses: DataFrame, i: int) -> DataFrame:
     """GRP i: witnesses with their group's number (groups in order of the tag at position i) and their place in it.
 
-    Members are kept, not aggregated. Numbers come from the distinct tags; places from one window a group.
+    Members are kept, not aggregated. A member's place is its place among all witnesses less that of its group's first
+    one, so a tag that most witnesses have is as many tasks as its size asks for.
     """
     check(witnesses, i)
-    tags = witnesses.groupBy(F.col(f"tag_{i}").alias("_tag")).agg(F.count("*").alias("group_size"))
-    numbered = tags.withColumn("group_no", F.row_number().over(Window.orderBy("_tag")).cast("long"))
-    place = Window.partitionBy(f"tag_{i}").orderBy("doc_id", *[f"start_{k}" for k in range(1, width(witnesses) + 1)])
-    members = witnesses.withColumn("member_no", F.row_number().over(place).cast("long"))
-    return members.join(numbered, F.col(f"tag_{i}") == F.col("_tag")).drop("_tag")
+    tag = f"tag_{i}"
+    members = numbered(witnesses, "member_no", F.col(tag), F.col("doc_id"), *[F.col(f"start_{k}") for k in range(1, width(witnesses) + 1)])
+    tags = members.groupBy(F.col(tag).alias("_tag")).agg(F.count("*").alias("group_size"), F.min("member_no").alias("_first"))
+    joined = members.join(numbered(tags, "group_no", F.col("_tag")), F.col(tag).eqNullSafe(F.col("_tag")))
+    return joined.select(*witnesses.columns, (F.col("member_no") - F.col("_first") + 1).alias("member_no"), "group_size", "group_no")
 
 
 def groups(witnesses: DataFrame, i: int) -> DataFrame:
     """One row a group: its number, tag and size."""
     check(witnesses, i)
-    tags = witnesses.groupBy(F.col(f"tag_{i}").alias("tag")).agg(F.count("*").alias("group_size"))
-    return tags.withColumn("group_no", F.row_number().over(Window.orderBy("tag")).cast("long"))
+    return numbered(witnesses.groupBy(F.col(f"tag_{i}").alias("tag")).agg(F.count("*").alias("group_size")), "group_no", F.col("tag"))
 
 
 def distinct(witnesses: DataFrame) -> DataFrame:
@@ -83,13 +100,13 @@ def distinct(witnesses: DataFrame) -> DataFrame:
 
 
 def tree_edges(witnesses: DataFrame) -> DataFrame:
-    """Each witness as a tree: (witness, doc_id, start, end, level, tag, parent_start), a row a node.
+    """Each witness as a tree: (witness, doc_id, start, end, level, tag, parent_start), a row a node; witness: the starts of its nodes.
 
     A node bound twice is one; a node's parent is the nearest other bound node around it, null at the root.
     """
     n = width(witnesses)
     node = lambda k: F.struct(*[F.col(f"{p}_{k}").alias(p) for p in PARTS])
-    key = F.xxhash64("doc_id", *[f"start_{k}" for k in range(1, n + 1)]).alias("witness")
+    key = F.array(*[f"start_{k}" for k in range(1, n + 1)]).alias("witness")
     listed = witnesses.select(key, "doc_id", F.array_sort(F.array_distinct(F.array(*[node(k) for k in range(1, n + 1)]))).alias("nodes"))
     around = lambda x: F.filter("nodes", lambda y: (y["start"] < x["start"]) & (y["end"] > x["end"]))
     with_parent = F.transform("nodes", lambda x: F.struct(*[x[p].alias(p) for p in PARTS], F.array_max(F.transform(around(x), lambda y: y["start"])).alias("parent_start")))

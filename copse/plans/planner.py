@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copse.operators.structural import holds, named, structural_join
+from copse.operators.structural import holds, levels_of, named, structural_join, usual
 from copse.plans.pattern import Pattern, Rule
 
 
@@ -35,10 +35,13 @@ def match(nodes: DataFrame, pattern: Pattern, strategy: str = "equi", reverse: b
 
     Rules are joined in breadth-first order, or by selectivity if the tags' counts are given; the columns are in binding
     order either way. A rule between two bound nodes is a filter. stitch joins the pairs of each rule on the shared node
-    instead of growing the twig node by node.
+    instead of growing the twig node by node. strategy: as of structural_join(), or auto for the usual one of the table.
     """
+    if strategy == "auto":
+        strategy = usual(nodes)
     rules = selective(pattern, counts) if counts else pattern.ordered(reverse)
     side = lambda i: named(nodes, i, pattern.tags[i - 1])
+    levels = lambda r: levels_of(nodes, pattern.tags[r.upper - 1]) if strategy == "equi" and r.axis == "AD" else None
     start = rules[0].upper if rules else 1
     if counts and rules:
         start = next(i for i in (rules[0].upper, rules[0].lower) if counts[pattern.tags[i - 1]] == min(counts[pattern.tags[j - 1]] for j in (rules[0].upper, rules[0].lower)))
@@ -50,11 +53,11 @@ def match(nodes: DataFrame, pattern: Pattern, strategy: str = "equi", reverse: b
         new = r.lower if r.upper in bound else r.upper
         old = r.upper + r.lower - new
         if stitch:
-            found = structural_join(side(r.upper), side(r.lower), r.upper, r.lower, r.axis, strategy)
+            found = structural_join(side(r.upper), side(r.lower), r.upper, r.lower, r.axis, strategy, levels=levels(r))
             again = found.select(F.col(f"doc_{old}").alias("_doc"), F.col(f"start_{old}").alias("_start"), *[c for c in found.columns if c.endswith(f"_{new}")])
             out = out.join(again, (F.col(f"doc_{old}") == F.col("_doc")) & (F.col(f"start_{old}") == F.col("_start"))).drop("_doc", "_start")
         else:
-            out = structural_join(out, side(new), r.upper, r.lower, r.axis, strategy)
+            out = structural_join(out, side(new), r.upper, r.lower, r.axis, strategy, levels=levels(r))
         bound.add(new)
     columns = [F.col(f"{p}_{n}").alias(f"{p}_{k}") for k, n in enumerate(pattern.binding(reverse), 1) for p in ("start", "end", "level", "tag")]
     return out.select(F.col(f"doc_{start}").alias("doc_id"), *columns)

@@ -9,79 +9,116 @@ from pyspark.sql import functions as F
 
 from copse import catalog
 from copse.functions.cnf import Ref
-from copse.functions.interval import Label, relation
+from copse.functions.interval import Label
 from copse.operators import relational as rel
 from copse.operators import structural, witness
 from copse.plans.pattern import Pattern, Rule
 from copse.plans.planner import match, tag_counts
 from copse.plans.query import Query, execute
 from copse.sources import layout, table
-from copse.sources.relational import chat_tree, geo_tree, sales_tree, whole_sales_tree
+from copse.sources.relational import chat_tree, geo_tree, sales_tree, xml_customers, xml_regions
 from copse.sources.xml import shred
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-TREES = {"sales": sales_tree, "geo": geo_tree, "chat": chat_tree, "whole_sales": whole_sales_tree}
+TREES = {"sales": sales_tree, "geo": geo_tree, "chat": chat_tree, "xml_customers": xml_customers, "xml_regions": xml_regions}
 
 # SQL of the trees ------------------------------------------------------------------------------------------------
+#
+# Labels in closed form: with the sizes of what comes before it, a node's start and end follow from its place among its
+# siblings, so a tree is a few small aggregates and unions. No node meets another one here.
 
-_LABEL = """
-placed AS (SELECT *, 1 + (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (leaf IS NOT NULL)::INT AS level,
-             row_number() OVER (PARTITION BY doc_id ORDER BY a NULLS FIRST, b NULLS FIRST, leaf NULLS FIRST) AS pre,
-             CASE WHEN leaf IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN count(*) OVER (PARTITION BY doc_id, a, b)
-                  WHEN a IS NOT NULL THEN count(*) OVER (PARTITION BY doc_id, a) ELSE count(*) OVER (PARTITION BY doc_id) END AS size
-           FROM placed_rows),
-nodes AS MATERIALIZED (SELECT doc_id, (2 * pre - level)::INTEGER AS "start", (2 * pre - level + 2 * size - 1)::INTEGER AS "end", level::INTEGER AS level, tag FROM placed)
-"""
 _ROWS = {
     "sales": """
-ln AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2),
-placed_rows(doc_id, a, b, leaf, tag) AS (
-  SELECT c_custkey, NULL::BIGINT, NULL::BIGINT, NULL::INT, 'customer' FROM customer
-  UNION ALL SELECT c_custkey, NULL, NULL, 1, 'segment=' || c_mktsegment FROM customer
-  UNION ALL SELECT o_custkey, o_orderkey, NULL, NULL, 'order' FROM orders
-  UNION ALL SELECT o_custkey, o_orderkey, NULL, 1, 'status=' || o_orderstatus FROM orders
-  UNION ALL SELECT o_custkey, o_orderkey, NULL, 2, 'priority=' || o_orderpriority FROM orders
-  UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, NULL, 'line' FROM ln JOIN orders ON l_orderkey = o_orderkey
-  UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, 1, 'flag=' || flag FROM ln JOIN orders ON l_orderkey = o_orderkey),
+ln AS (SELECT l_orderkey, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, l_returnflag NULLS FIRST) AS j FROM lineitem),
+counted AS (SELECT l_orderkey AS k, count(*) AS lines FROM lineitem GROUP BY l_orderkey),
+sized AS (SELECT o_custkey AS doc_id, o_orderkey AS o, o_orderstatus AS status, o_orderpriority AS priority, 3 + 2 * coalesce(lines, 0) AS size,
+            CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END AS up
+          FROM orders LEFT JOIN counted ON o_orderkey = k LEFT JOIN customer ON o_custkey = c_custkey),
+ord AS (SELECT *, 4 * up + 2 * (sum(size) OVER (PARTITION BY doc_id ORDER BY o) - size) AS s FROM sized),
+whole AS (SELECT doc_id AS d, sum(size) AS below FROM sized GROUP BY doc_id),
+made(doc_id, s, e, level, tag, up) AS (
+  SELECT c_custkey, 1, 2 * (2 + coalesce(below, 0)), 1, 'customer', 0 FROM customer LEFT JOIN whole ON c_custkey = d
+  UNION ALL SELECT c_custkey, 2, 3, 2, 'segment=' || c_mktsegment, 1 FROM customer
+  UNION ALL SELECT doc_id, s, s + 2 * size - 1, 2, 'order', up FROM ord
+  UNION ALL SELECT doc_id, s + 1, s + 2, 3, 'status=' || status, s FROM ord
+  UNION ALL SELECT doc_id, s + 3, s + 4, 3, 'priority=' || priority, s FROM ord
+  UNION ALL SELECT doc_id, s + 1 + 4 * j, s + 4 + 4 * j, 3, 'line', s FROM ord JOIN ln ON o = l_orderkey
+  UNION ALL SELECT doc_id, s + 2 + 4 * j, s + 3 + 4 * j, 4, 'flag=' || flag, s + 1 + 4 * j FROM ord JOIN ln ON o = l_orderkey),
 """,
     "geo": """
-placed_rows(doc_id, a, b, leaf, tag) AS (
-  SELECT r_regionkey::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::INT, 'region' FROM region
-  UNION ALL SELECT r_regionkey, NULL, NULL, 1, r_name FROM region
-  UNION ALL SELECT n_regionkey, n_nationkey, NULL, NULL, 'nation' FROM nation
-  UNION ALL SELECT n_regionkey, n_nationkey, NULL, 1, n_name FROM nation),
+ranked AS (SELECT n_regionkey AS r, n_name, 4 * row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS s FROM nation),
+counted AS (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY n_regionkey),
+made(doc_id, s, e, level, tag, up) AS (
+  SELECT r_regionkey, 1, 4 + 4 * coalesce(n, 0), 1, 'region', 0 FROM region LEFT JOIN counted ON r_regionkey = k
+  UNION ALL SELECT r_regionkey, 2, 3, 2, r_name, 1 FROM region
+  UNION ALL SELECT r, s, s + 3, 2, 'nation', 1 FROM ranked
+  UNION ALL SELECT r, s + 1, s + 2, 3, n_name, s FROM ranked),
 """,
     "chat": """
-turns AS (SELECT conv_id, turn, coalesce(min(role), '') AS role FROM conversations GROUP BY 1, 2),
-placed_rows(doc_id, a, b, leaf, tag) AS (
-  SELECT DISTINCT conv_id, NULL::BIGINT, NULL::BIGINT, NULL::INT, 'chat' FROM turns
-  UNION ALL SELECT conv_id, turn, NULL, NULL, 'turn' FROM turns
-  UNION ALL SELECT conv_id, turn, NULL, 1, role FROM turns),
+ranked AS (SELECT conv_id AS c, coalesce(role, '') AS role, 4 * row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) - 2 AS s FROM conversations),
+made(doc_id, s, e, level, tag, up) AS (
+  SELECT c, 1, 2 + 4 * count(*), 1, 'chat', 0 FROM ranked GROUP BY c
+  UNION ALL SELECT c, s, s + 3, 2, 'turn', 1 FROM ranked
+  UNION ALL SELECT c, s + 1, s + 2, 3, role, s FROM ranked),
+""",
+    # <customer><segment>S</segment><order status="F"><priority>P</priority></order>...</customer>, names and texts cut to five
+    "xml_customers": """
+ord AS (SELECT o_custkey AS c, left(o_orderstatus, 5) AS status, left(o_orderpriority, 5) AS priority, 10 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 4 AS s FROM orders),
+counted AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey),
+made(doc_id, s, e, level, tag, up) AS (
+  SELECT c_custkey, 1, 6 + 10 * coalesce(n, 0), 1, 'customer', 0 FROM customer LEFT JOIN counted ON c_custkey = k
+  UNION ALL SELECT c_custkey, 2, 5, 2, 'segme', 1 FROM customer
+  UNION ALL SELECT c_custkey, 3, 4, 3, left(c_mktsegment, 5), 2 FROM customer
+  UNION ALL SELECT c, s, s + 9, 2, 'order', 1 FROM ord
+  UNION ALL SELECT c, s + 1, s + 4, 3, 'statu', s FROM ord
+  UNION ALL SELECT c, s + 2, s + 3, 4, status, s + 1 FROM ord
+  UNION ALL SELECT c, s + 5, s + 8, 3, 'prior', s FROM ord
+  UNION ALL SELECT c, s + 6, s + 7, 4, priority, s + 5 FROM ord),
+""",
+    # <region><name>R</name><nation><name>N</name></nation>...</region>
+    "xml_regions": """
+ranked AS (SELECT n_regionkey AS r, left(n_name, 5) AS name, 6 * row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS s FROM nation),
+counted AS (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY n_regionkey),
+made(doc_id, s, e, level, tag, up) AS (
+  SELECT r_regionkey, 1, 6 + 6 * coalesce(n, 0), 1, 'region', 0 FROM region LEFT JOIN counted ON r_regionkey = k
+  UNION ALL SELECT r_regionkey, 2, 5, 2, 'name', 1 FROM region
+  UNION ALL SELECT r_regionkey, 3, 4, 3, left(r_name, 5), 2 FROM region
+  UNION ALL SELECT r, s, s + 5, 2, 'natio', 1 FROM ranked
+  UNION ALL SELECT r, s + 1, s + 4, 3, 'name', s FROM ranked
+  UNION ALL SELECT r, s + 2, s + 3, 4, name, s + 1 FROM ranked),
 """,
 }
-#: A line node for each row of lineitem.
-_ROWS["whole_sales"] = _ROWS["sales"].replace(
-    "ln AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2)",
-    "ln AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, l_returnflag NULLS FIRST) AS l_linenumber, l_returnflag AS flag FROM lineitem)",
-)
+_NODES = """nodes AS MATERIALIZED (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", CAST(level AS INTEGER) AS level, tag, CAST(up AS INTEGER) AS parent_start FROM made)
+"""
 
 
 def tree_sql(tree: str, body: str) -> str:
-    return f"WITH {_ROWS[tree].strip()}{_LABEL}{body}"
+    return f"WITH {_ROWS[tree].strip()}\n{_NODES}{body}"
+
 
+def _side(tag: str, name: str) -> str:
+    where = "" if tag == "*" else f" WHERE tag = '{tag}'"
+    return f'(SELECT doc_id, "start", "end", level, tag FROM nodes{where}) {name}'
 
-def twig_sql(pattern: Pattern, alias: str = "", reverse: bool = False) -> str:
-    """A pattern as a join of the nodes with themselves, by containment."""
-    names = [f"{alias}n{i}" for i in range(1, len(pattern.tags) + 1)]
-    where = [f"{n}.tag = '{t}'" for n, t in zip(names, pattern.tags, strict=True) if t != "*"]
-    where += [f"{names[0]}.doc_id = {n}.doc_id" for n in names[1:]]
-    for r in pattern.rules:
-        a, d = names[r.upper - 1], names[r.lower - 1]
-        where.append(f'{a}."start" < {d}."start" AND {a}."end" > {d}."end"' + (f" AND {d}.level = {a}.level + 1" if r.axis == "PC" else ""))
-    columns = [f'{names[n - 1]}."{p}" AS {p}_{k}' for k, n in enumerate(pattern.binding(reverse), 1) for p in ("start", "end", "level", "tag")]
-    return f"SELECT {names[0]}.doc_id, {', '.join(columns)} FROM {', '.join(f'nodes {n}' for n in names)}" + (f" WHERE {' AND '.join(where)}" if where else "")
+
+def twig_sql(pattern: Pattern, reverse: bool = False) -> str:
+    """A pattern as joins of its nodes' candidates, filtered by tag first, in binding order: equal documents, and containment."""
+    names = {i: f"n{i}" for i in range(1, len(pattern.tags) + 1)}
+
+    def holds(r: Rule) -> str:
+        a, d = names[r.upper], names[r.lower]
+        return f'{a}."start" < {d}."start" AND {a}."end" > {d}."end"' + (f" AND {d}.level = {a}.level + 1" if r.axis == "PC" else "")
+
+    order = pattern.binding(reverse)
+    joined, left = _side(pattern.tags[order[0] - 1], names[order[0]]), list(pattern.rules)
+    for k, n in enumerate(order[1:], 1):
+        ready = [r for r in left if {r.upper, r.lower} <= set(order[: k + 1])]
+        left = [r for r in left if r not in ready]
+        joined += f"\n JOIN {_side(pattern.tags[n - 1], names[n])} ON {' AND '.join([f'{names[order[0]]}.doc_id = {names[n]}.doc_id', *map(holds, ready)])}"
+    columns = [f'{names[n]}."{p}" AS {p}_{k}' for k, n in enumerate(order, 1) for p in ("start", "end", "level", "tag")]
+    return f"SELECT {names[order[0]]}.doc_id, {', '.join(columns)} FROM {joined}"
 
 
 def pattern(tags: str, *rules: str) -> Pattern:
@@ -114,19 +151,17 @@ def five(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "start", "end", "level", "tag")
 
 
+def six(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "start", "end", "level", "tag", F.coalesce("parent_start", F.lit(0)).alias("parent_start"))
+
+
 # Labels and look-ups ---------------------------------------------------------------------------------------------
 
 
-@query(tree_sql("sales", 'SELECT c.doc_id, c."start", c."end", c.level, c.tag, coalesce(p."start", 0) AS parent_start FROM nodes c LEFT JOIN nodes p ON p.doc_id = c.doc_id AND p."start" < c."start" AND p."end" > c."end" AND p.level = c.level - 1'))
+@query(tree_sql("sales", f"SELECT {_FIVE}, parent_start FROM nodes"))
 def label_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node with its parent's start, 0 for roots."""
-    return sales_tree(spark, sf_dir).select("doc_id", "start", "end", "level", "tag", F.coalesce("parent_start", F.lit(0)).alias("parent_start"))
-
-
-@query(tree_sql("whole_sales", 'SELECT c.doc_id, c."start", c."end", c.level, c.tag, coalesce(p."start", 0) AS parent_start FROM nodes c LEFT JOIN nodes p ON p.doc_id = c.doc_id AND p."start" < c."start" AND p."end" > c."end" AND p.level = c.level - 1'))
-def whole_label_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with a line node for each row of lineitem."""
-    return whole_sales_tree(spark, sf_dir).select("doc_id", "start", "end", "level", "tag", F.coalesce("parent_start", F.lit(0)).alias("parent_start"))
+    return six(sales_tree(spark, sf_dir))
 
 
 @query(tree_sql("sales", f"SELECT {_FIVE} FROM nodes WHERE tag = 'order'"))
@@ -169,41 +204,33 @@ def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query(tree_sql("whole_sales", "SELECT tag, count(*) AS n FROM nodes GROUP BY tag"))
-def whole_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir, "whole_sales").groupBy("tag").agg(F.count("*").alias("n"))
+@query(tree_sql("sales", f"SELECT {_FIVE} FROM nodes"))
+def tag_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows in the order of their tags: what a scan of the tag index without a bound gives."""
+    return five(layout.in_tag_order(nodes(spark, sf_dir)))
 
 
-@query(
-    tree_sql(
-        "sales",
-        """, u AS (SELECT * FROM nodes WHERE level <= 2)
-SELECT CASE WHEN a."start" < b."start" AND a."end" > b."end" THEN CASE WHEN b.level = a.level + 1 THEN 9 ELSE 1 END
-            WHEN b."start" < a."start" AND b."end" > a."end" THEN CASE WHEN a.level = b.level + 1 THEN 10 ELSE 2 END
-            WHEN a."start" = b."start" AND a."end" = b."end" THEN 4 WHEN a."end" < b."start" OR a."start" > b."end" THEN 0 ELSE 3 END AS code, count(*) AS n
-FROM u a JOIN u b ON a.doc_id = b.doc_id GROUP BY 1""",
-    )
-)
-def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = nodes(spark, sf_dir).filter("level <= 2")
-    a, b = structural.named(top, 1), structural.named(top, 2)
-    both = a.join(b, F.col("doc_1") == F.col("doc_2"))
-    return both.groupBy(relation(Label.of(suffix="_1", doc="doc_1"), Label.of(suffix="_2", doc="doc_2")).alias("code")).agg(F.count("*").alias("n"))
+@query(tree_sql("sales", f'SELECT {_FIVE} FROM nodes WHERE doc_id BETWEEN 5 AND 60 AND "start" BETWEEN 4 AND 30'))
+def interval_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of documents and starts from the layout by interval, whose sorted files are skipped by their statistics."""
+    found = layout.load_once(spark, "sales", sf_dir, TREES["sales"], "interval")
+    return five(layout.scan(found, F.col("doc_id").between(5, 60) & F.col("start").between(4, 30)))
 
 
 @query(
     tree_sql(
-        "whole_sales",
-        """
-SELECT CASE WHEN a."start" < b."start" AND a."end" > b."end" THEN CASE WHEN b.level = a.level + 1 THEN 9 ELSE 1 END
-            WHEN b."start" < a."start" AND b."end" > a."end" THEN CASE WHEN a.level = b.level + 1 THEN 10 ELSE 2 END
-            WHEN a."start" = b."start" AND a."end" = b."end" THEN 4 WHEN a."end" < b."start" OR a."start" > b."end" THEN 0 ELSE 3 END AS code, count(*) AS n
-FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id GROUP BY 1""",
+        "sales",
+        """, pairs AS (SELECT count(*) FILTER (d.level = a.level + 1) AS near, count(*) FILTER (d.level > a.level + 1) AS far
+           FROM (SELECT * FROM nodes WHERE "end" > "start" + 1) a JOIN nodes d ON a.doc_id = d.doc_id AND a."start" < d."start" AND a."end" > d."end"),
+per AS (SELECT count(*) AS n FROM nodes GROUP BY doc_id), total AS (SELECT CAST(sum(n) AS BIGINT) AS nodes, CAST(sum(n * n) AS BIGINT) AS squares FROM per)
+SELECT code, n FROM (
+  SELECT 9 AS code, near AS n FROM pairs UNION ALL SELECT 10, near FROM pairs UNION ALL SELECT 1, far FROM pairs UNION ALL SELECT 2, far FROM pairs
+  UNION ALL SELECT 4, nodes FROM total UNION ALL SELECT 0, squares - nodes - 2 * (near + far) FROM total, pairs) WHERE n > 0""",
     )
 )
-def whole_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many pairs of nodes of one document, on all levels, have each interval relation."""
-    return relation_counts(nodes(spark, sf_dir, "whole_sales"))
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ordered pairs of nodes of one document, on all levels, have each interval relation."""
+    return relation_counts(nodes(spark, sf_dir))
 
 
 def relation_counts(tree: DataFrame) -> DataFrame:
@@ -220,22 +247,21 @@ def relation_counts(tree: DataFrame) -> DataFrame:
 
 # Structural joins ------------------------------------------------------------------------------------------------
 
-_EIGHT = ", ".join(f'n{i}."{p}" AS {p}_{i}' for i in (1, 2) for p in ("start", "end", "level", "tag"))
 
 
-def _pairs(name: str, upper: str, lower: str, axis: str, strategy: str, tree: str = "sales") -> None:
-    step = " AND n2.level = n1.level + 1" if axis == "PC" else ""
-    sql = f'SELECT n1.doc_id, {_EIGHT} FROM nodes n1 JOIN nodes n2 ON n1.doc_id = n2.doc_id AND n1."start" < n2."start" AND n1."end" > n2."end"{step} WHERE n1.tag = \'{upper}\' AND n2.tag = \'{lower}\''
-    _register(name, lambda spark, sf_dir: structural.pairs(nodes(spark, sf_dir, tree), upper, lower, axis, strategy), tree_sql(tree, sql))
+def _pairs(name: str, upper: str, lower: str, axis: str, strategy: str) -> None:
+    sql = twig_sql(Pattern((upper, lower), (Rule(1, 2, axis),)))
+    _register(name, lambda spark, sf_dir: structural.pairs(nodes(spark, sf_dir), upper, lower, axis, strategy), tree_sql("sales", sql))
 
 
 for _strategy in structural.STRATEGIES:
     _pairs(f"pc_join_{_strategy}", "customer", "order", "PC", _strategy)
     _pairs(f"ad_join_{_strategy}", "customer", "flag=R", "AD", _strategy)
-    _pairs(f"whole_ad_join_{_strategy}", "customer", "flag=R", "AD", _strategy, "whole_sales")
+
+_EIGHT = ", ".join(f'n{i}."{p}" AS {p}_{i}' for i in (1, 2) for p in ("start", "end", "level", "tag"))
 
 
-@query(tree_sql("sales", f'SELECT n1.doc_id, {_EIGHT} FROM nodes n1 JOIN nodes n2 ON n1.doc_id = n2.doc_id AND n1."start" = n2."start" AND n1."end" = n2."end" WHERE n1.level = 2 AND n2.tag = \'order\''))
+@query(tree_sql("sales", f'SELECT n1.doc_id, {_EIGHT} FROM (SELECT * FROM nodes WHERE level = 2) n1 JOIN (SELECT * FROM nodes WHERE tag = \'order\') n2 ON n1.doc_id = n2.doc_id AND n1."start" = n2."start" AND n1."end" = n2."end"'))
 def same_node_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = nodes(spark, sf_dir)
     return structural.node_pairs(tree.filter("level = 2"), layout.by_tag(tree, "order"))
@@ -267,8 +293,6 @@ _twig("twig_repeated_tag", TWICE)
 _twig("twig_closing_rule", CYCLE)
 _twig("twig_chat", pattern("chat turn assistant", "1 2 PC", "2 3 PC"), "chat")
 _twig("twig_single", pattern("customer"))
-for _name, _p in (("chain", CHAIN), ("branch", BRANCH), ("wildcard", WILD), ("repeated_tag", TWICE), ("closing_rule", CYCLE)):
-    _twig(f"whole_twig_{_name}", _p, "whole_sales")
 
 
 @query(tree_sql("sales", twig_sql(BRANCH)))
@@ -302,14 +326,17 @@ _complex("cp", Query(NATIONS, PLACES, "CP"), _both(NATIONS, PLACES, "true", "'CP
 _complex("tj", Query(PLACES, PLACES, "TJ", (2, 2)), _both(PLACES, PLACES, "left.tag_2 = right.tag_2", "'TJ_root_' || left.tag_2", "geo"), "geo")
 _complex("nj", Query(URGENT, FINAL, "NJ", (1, 1)), _both(URGENT, FINAL, "left.doc_id = right.doc_id AND left.start_1 = right.start_1 AND left.end_1 = right.end_1", "'NJ_root_[' || left.start_1 || ',' || left.end_1 || ']'", "sales"))
 _complex("srt", Query(BRANCH, None, "SRT", (3,)), tree_sql("sales", twig_sql(BRANCH)))
-_complex(
-    "grp_members",
-    Query(ORDERS, None, "GRP", (3,)),
-    tree_sql(
-        "sales",
-        f", w AS ({twig_sql(ORDERS)}) SELECT *, count(*) OVER (PARTITION BY tag_3) AS group_size, dense_rank() OVER (ORDER BY tag_3) AS group_no, row_number() OVER (PARTITION BY tag_3 ORDER BY doc_id, start_1, start_2, start_3) AS member_no FROM w",
-    ),
-)
+
+
+def _grouped(tree: str, p: Pattern) -> str:
+    return tree_sql(
+        tree,
+        f", w AS ({twig_sql(p)}), t AS (SELECT tag_3 AS t, count(*) AS group_size, row_number() OVER (ORDER BY tag_3) AS group_no FROM w GROUP BY tag_3) "
+        "SELECT w.*, group_size, group_no, row_number() OVER (PARTITION BY tag_3 ORDER BY doc_id, start_1, start_2, start_3) AS member_no FROM w JOIN t ON tag_3 = t",
+    )
+
+
+_complex("grp_members", Query(ORDERS, None, "GRP", (3,)), _grouped("sales", ORDERS))
 
 
 @query(tree_sql("sales", f", w AS ({twig_sql(ORDERS)}) SELECT tag_3 AS tag, count(*) AS group_size, row_number() OVER (ORDER BY tag_3) AS group_no FROM w GROUP BY tag_3"))
@@ -335,6 +362,40 @@ def witness_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return witness.tree_edges(match(nodes(spark, sf_dir), UPWARD)).drop("witness").fillna(0, ["parent_start"])
 
 
+# Documents written as XML from rows, shredded, stored by folder, and queried ------------------------------------------
+
+XML_ORDERS = pattern("customer order prior 1-URG", "1 2 PC", "2 3 PC", "3 4 PC")
+XML_FINAL = pattern("order statu F", "1 2 PC", "2 3 PC")
+XML_URGENT = pattern("order prior 1-URG", "1 2 PC", "2 3 PC")
+XML_TEXTS = pattern("customer order *", "1 2 PC", "2 3 AD")
+XML_PLACES = pattern("region name *", "1 2 AD", "2 3 PC")
+XML_NATIONS = pattern("natio name", "1 2 PC")
+
+
+def _xml(name: str, q: Query, sql: str, tree: str = "xml_customers") -> None:
+    _register(name, lambda spark, sf_dir: execute(layout.load_once(spark, tree, sf_dir, TREES[tree], "folder"), q), sql)
+
+
+@query(tree_sql("xml_customers", f"SELECT {_FIVE}, parent_start FROM nodes"))
+def xml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the shredded documents with its parent's start, 0 for roots."""
+    return six(xml_customers(spark, sf_dir))
+
+
+@query(tree_sql("xml_customers", f"SELECT {_FIVE} FROM nodes WHERE tag = '1-URG'"))
+def xml_tag_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text, looked up as a tag."""
+    return five(layout.by_tag(layout.load_once(spark, "xml_customers", sf_dir, xml_customers, "folder"), "1-URG"))
+
+
+_xml("xml_sel", Query(XML_ORDERS), tree_sql("xml_customers", twig_sql(XML_ORDERS)))
+_xml("xml_cp", Query(XML_NATIONS, XML_PLACES, "CP"), _both(XML_NATIONS, XML_PLACES, "true", "'CP_root'", "xml_regions"), "xml_regions")
+_xml("xml_tj", Query(XML_PLACES, XML_PLACES, "TJ", (3, 3)), _both(XML_PLACES, XML_PLACES, "left.tag_3 = right.tag_3", "'TJ_root_' || left.tag_3", "xml_regions"), "xml_regions")
+_xml("xml_nj", Query(XML_URGENT, XML_FINAL, "NJ", (1, 1)), _both(XML_URGENT, XML_FINAL, "left.doc_id = right.doc_id AND left.start_1 = right.start_1 AND left.end_1 = right.end_1", "'NJ_root_[' || left.start_1 || ',' || left.end_1 || ']'", "xml_customers"))
+_xml("xml_srt", Query(XML_ORDERS, None, "SRT", (3,)), tree_sql("xml_customers", twig_sql(XML_ORDERS)))
+_xml("xml_grp", Query(XML_TEXTS, None, "GRP", (3,)), _grouped("xml_customers", XML_TEXTS))
+
+
 # Relations -------------------------------------------------------------------------------------------------------
 
 

@@ -1,19 +1,20 @@
 """How node tables are stored, and look-ups that a layout makes cheap.
 
-By tag: one folder a tag, so a tag predicate reads its own files only. By interval: range-partitioned and sorted by
-(doc_id, start), so Parquet statistics skip row groups outside a range of starts.
+By tag: one folder a tag, so a tag predicate reads its own files only. By folder: for trees whose texts and attribute values
+are tags, tags are dealt to a fixed number of folders by hash and sorted in them, so a tag predicate reads one folder and
+skips row groups. By interval: range-partitioned and sorted by (doc_id, start), so Parquet statistics skip row groups
+outside a range of starts.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from copse.functions.interval import Label, is_child, is_descendant, same
 from copse.sources.schema import NODE
+from copse.sources.shared import state, temporary
 
 
 def store_by_tag(nodes: DataFrame, path: str) -> DataFrame:
@@ -22,6 +23,25 @@ def store_by_tag(nodes: DataFrame, path: str) -> DataFrame:
     return read_nodes(nodes.sparkSession, path)
 
 
+#: Folders of the layout for many tags.
+FOLDERS = 64
+
+
+def folder_of(tag: Column) -> Column:
+    return F.pmod(F.xxhash64(tag), F.lit(FOLDERS)).cast("int")
+
+
+def store_by_folder(nodes: DataFrame, path: str) -> DataFrame:
+    """For trees with many tags, however many there are. The column `folder` stays in the table, and by_tag() uses it."""
+    dealt = nodes.withColumn("folder", folder_of(F.col("tag"))).hint("rebalance", "folder").sortWithinPartitions("folder", "tag", "doc_id", "start")
+    dealt.write.partitionBy("folder").mode("overwrite").parquet(path)
+    return read_folders(nodes.sparkSession, path)
+
+
+def read_folders(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*NODE.fields, T.StructField("folder", T.IntegerType())])).parquet(path)
+
+
 def store_by_interval(nodes: DataFrame, path: str) -> DataFrame:
     nodes.repartitionByRange("doc_id", "start").sortWithinPartitions("doc_id", "start").write.mode("overwrite").parquet(path)
     return read_nodes(nodes.sparkSession, path)
@@ -38,6 +58,8 @@ def scan(nodes: DataFrame, where: Column | None = None, columns: list[str] | Non
 
 def by_tag(nodes: DataFrame, tag: str, ignore_case: bool = False) -> DataFrame:
     """Point search; the tag is literal, there are no wildcards."""
+    if "folder" in nodes.columns and not ignore_case:
+        nodes = nodes.filter(F.col("folder") == folder_of(F.lit(tag)))
     return nodes.filter(F.lower("tag") == tag.lower() if ignore_case else F.col("tag") == tag)
 
 
@@ -58,24 +80,28 @@ def by_interval(nodes: DataFrame, of: Label, relation: str = "descendant", tag:
     return found if tag is None else by_tag(found, tag)
 
 
-def index_only(nodes: DataFrame, key: str) -> DataFrame:
-    """The key column alone, in its order."""
-    return nodes.select(key).orderBy(key)
+def index_only(nodes: DataFrame, key: str, ordered: bool = False) -> DataFrame:
+    """The key column alone; ordered: in its order, which takes a sort of the whole column."""
+    keys = nodes.select(key)
+    return keys.orderBy(key) if ordered else keys
+
 
+def in_tag_order(nodes: DataFrame) -> DataFrame:
+    """All rows by tag, then document and start: a range sort of the table."""
+    return nodes.orderBy("tag", "doc_id", "start")
 
-_loaded: dict[tuple[str, str, str], str] = {}
 
+_loaded: dict[tuple, str] = {}
 
-def shared_root(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (root or "file://" + os.path.join(tempfile.gettempdir(), "copse-tables")).rstrip("/")
 
+def load_once(spark: SparkSession, name: str, sf_dir: str, build, by: str = "tag") -> DataFrame:
+    """A node table that is built and stored (by tag, folder or interval) once in an application, like loading a database, and then queried.
 
-def load_once(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
-    """A node table that is built and stored by tag once in an application, like loading a database, and then queried."""
-    key = (spark.sparkContext.applicationId, name, sf_dir)
+    It is built again if the files under sf_dir have changed since.
+    """
+    key = (spark.sparkContext.applicationId, name, by, sf_dir, state(spark, sf_dir))
     if key not in _loaded:
-        path = f"{shared_root(spark)}/{key[0]}-{name}-{abs(hash(sf_dir)):x}"
-        store_by_tag(build(spark, sf_dir), path)
+        path = temporary(spark, f"{name}-by-{by}")
+        {"tag": store_by_tag, "folder": store_by_folder, "interval": store_by_interval}[by](build(spark, sf_dir), path)
         _loaded[key] = path
-    return read_nodes(spark, _loaded[key])
+    return read_folders(spark, _loaded[key]) if by == "folder" else read_nodes(spark, _loaded[key])

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copse.sources.schema import NODE
+from copse.sources.xml import shred
 
 
 def label(rows: DataFrame, keys: list[str], leaf: str) -> DataFrame:
@@ -40,17 +41,8 @@ def label(rows: DataFrame, keys: list[str], leaf: str) -> DataFrame:
 def sales_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document a customer: customer > order > line, with leaves for segment, status, priority and return flag.
 
-    Lines are distinct by order and number; of rows with one number, the least flag counts, and the others are no nodes.
-    whole_sales_tree() keeps them.
-    """
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("n")).agg(F.min("l_returnflag").alias("flag"))
-    return _sales(spark, sf_dir, lines)
-
-
-def whole_sales_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with a line node for each row of lineitem, numbered in its order by line number and flag.
-
-    Rows that are equal in both give equal nodes, so labels don't depend on the order of the rows.
+    Each row of lineitem is a line, numbered in its order by line number and flag; rows that are equal in both give equal
+    nodes, so labels don't depend on the order of the rows.
     """
     place = Window.partitionBy("l_orderkey").orderBy(F.col("l_linenumber").asc_nulls_first(), F.col("l_returnflag").asc_nulls_first())
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.row_number().over(place).cast("long").alias("n"), F.col("l_returnflag").alias("flag"))
@@ -104,3 +96,43 @@ def geo_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         nation.select("doc_id", "n", F.lit(1).alias("leaf"), F.col("n_name").alias("tag"), F.lit("attribute").alias("kind")),
     ]
     return label(reduce(DataFrame.unionByName, parts), ["n"], "leaf")
+
+
+def _element(name: str, *inside: Column, **attributes: Column) -> Column:
+    """An XML element as a string column, with texts and attribute values escaped."""
+    parts = [F.lit(f"<{name}")]
+    for k, v in attributes.items():
+        parts += [F.lit(f' {k}="'), escaped(v), F.lit('"')]
+    return F.concat(*parts, F.lit(">"), *inside, F.lit(f"</{name}>"))
+
+
+def escaped(text: Column) -> Column:
+    for plain, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
+
+
+def _documents(top: DataFrame, below: DataFrame, name: str, head: Column) -> DataFrame:
+    """(doc_id, text): an XML document for each row of top (doc_id, ...), with the elements of below (doc_id, at, element) in the order of at."""
+    inside = below.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "element"))).alias("parts"))
+    joined = top.join(inside, "doc_id", "left")
+    content = F.coalesce(F.concat_ws("", F.transform("parts", lambda x: x["element"])), F.lit(""))
+    return joined.select("doc_id", _element(name, head, content).alias("text"))
+
+
+def xml_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their orders, written as XML documents and shredded; names and texts are cut to five characters."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    top = read("customer").select(F.col("c_custkey").cast("long").alias("doc_id"), "c_mktsegment")
+    order = _element("order", _element("priority", escaped(F.col("o_orderpriority"))), status=F.col("o_orderstatus"))
+    below = read("orders").select(F.col("o_custkey").cast("long").alias("doc_id"), F.col("o_orderkey").alias("at"), order.alias("element"))
+    return shred(_documents(top, below, "customer", _element("segment", escaped(F.col("c_mktsegment")))))
+
+
+def xml_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions with their nations, in the same way."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    top = read("region").select(F.col("r_regionkey").cast("long").alias("doc_id"), "r_name")
+    nation = _element("nation", _element("name", escaped(F.col("n_name"))))
+    below = read("nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), F.col("n_nationkey").alias("at"), nation.alias("element"))
+    return shred(_documents(top, below, "region", _element("name", escaped(F.col("r_name")))))

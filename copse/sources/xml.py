@@ -3,12 +3,15 @@
 Elements, attributes, attribute values and texts become nodes, labelled by one depth-first walk: a counter gives start on
 entry and end on exit, the root has level 1. The root's own attributes are left out; attributes come before an element's
 children, in ascending order of name, each a node with its value as only child; texts are trimmed, blank ones and comments
-dropped; all names and texts but the root's name are cut to `width` characters (None: not at all).
+dropped; all names and texts but the root's name are cut to `width` characters (None: not at all). CDATA sections are part
+of the text around them and instructions are dropped; with `marked`, both have a text node of their own for what they hold,
+followed by a node with their name (#cdata-section, or the instruction's target).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from html.parser import HTMLParser
 from xml.parsers import expat
 
@@ -55,7 +58,7 @@ class Labeller:
             self.leaf(text, "text")
 
 
-def shred_xml(text: str, width: int | None = WIDTH) -> list[list]:
+def shred_xml(text: str, width: int | None = WIDTH, marked: bool = False) -> list[list]:
     """Rows start, end, level, tag, kind, parent_start, ancestors of a well-formed document; else an error."""
     out, parser, pending = Labeller(width), expat.ParserCreate(), []
     parser.buffer_text = True
@@ -77,6 +80,20 @@ def shred_xml(text: str, width: int | None = WIDTH) -> list[list]:
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = enter, leave, pending.append
     parser.CommentHandler = lambda _: settle()
+
+    def end_section() -> None:
+        settle()
+        if out.open:
+            out.leaf("#cdata-section", "section")
+
+    def instruction(target: str, data: str) -> None:
+        settle()
+        if out.open:
+            out.text(data)
+            out.leaf(target, "instruction")
+
+    if marked:
+        parser.StartCdataSectionHandler, parser.EndCdataSectionHandler, parser.ProcessingInstructionHandler = settle, end_section, instruction
     parser.Parse(text, True)
     return out.rows
 
@@ -125,8 +142,8 @@ def shred_html(text: str, width: int | None = None) -> list[list]:
     return out.rows
 
 
-def _shredder(kind: str, width: int | None):
-    shred = shred_xml if kind == "xml" else shred_html
+def _shredder(kind: str, width: int | None, marked: bool):
+    shred = partial(shred_xml, marked=marked) if kind == "xml" else shred_html
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,12 +155,12 @@ def _shredder(kind: str, width: int | None):
     return run
 
 
-def shred(documents: DataFrame, kind: str = "xml", width: int | None = WIDTH) -> DataFrame:
+def shred(documents: DataFrame, kind: str = "xml", width: int | None = WIDTH, marked: bool = False) -> DataFrame:
     """The node table of documents (doc_id, text); null and empty texts have no node. One document is one row, never split."""
     from copse.ship import ship
 
     ship(documents.sparkSession)
-    return documents.select(documents["doc_id"].cast("long"), documents["text"].cast("string")).mapInPandas(_shredder(kind, width), NODE)
+    return documents.select(documents["doc_id"].cast("long"), documents["text"].cast("string")).mapInPandas(_shredder(kind, width, marked), NODE)
 
 
 def read_xml(spark: SparkSession, path: str, width: int | None = WIDTH) -> DataFrame:

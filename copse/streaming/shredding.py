@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from copse.sources.layout import folder_of
 from copse.sources.xml import WIDTH, shred
 
 
@@ -15,5 +17,6 @@ def shred_stream(documents: DataFrame, kind: str = "xml", width: int | None = WI
 
 
 def store_stream(nodes: DataFrame, path: str, checkpoint: str):
-    """Appends a stream of nodes to a table by tag; files are written exactly once."""
-    return nodes.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("tag").outputMode("append")
+    """Appends a stream of nodes to a table by folder (see layout), as their texts are tags; files are written exactly once."""
+    dealt = nodes.withColumn("folder", folder_of(F.col("tag")))
+    return dealt.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("folder").outputMode("append")

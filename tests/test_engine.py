@@ -40,7 +40,7 @@ def test_pages(spark, sf_dir):
 def test_every_row_is_a_node(spark, sf_dir, tmp_path):
     """Rows with one line number, or one turn, are nodes each."""
     flags = {r["l_returnflag"]: r["count"] for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count().collect()}
-    tags = {r["tag"]: r["n"] for r in queries.whole_tag_histogram(spark, sf_dir).collect()}
+    tags = {r["tag"]: r["n"] for r in queries.tag_histogram(spark, sf_dir).collect()}
     assert tags["line"] == sum(flags.values())
     assert {f: tags[f"flag={f}"] for f in flags} == flags
     turns = [(1, 0, "user"), (1, 0, "user"), (1, 0, "assistant"), (1, 1, None)]
@@ -109,6 +109,41 @@ def test_layouts(spark, sf_dir, tmp_path):
         layout.by_interval(nodes, me, "parent")
 
 
+def test_layout_for_many_tags(spark, sf_dir, tmp_path):
+    """Texts are tags: a fixed number of folders, and a look-up reads one of them."""
+    nodes = queries.xml_customers(spark, sf_dir)
+    by_folder = layout.store_by_folder(nodes, str(tmp_path / "by_folder"))
+    assert len([p for p in (tmp_path / "by_folder").iterdir() if p.is_dir()]) <= layout.FOLDERS
+    for tag in ("order", "1-URG", "no such tag"):
+        found = layout.by_tag(by_folder, tag)
+        assert found.count() == nodes.filter(F.col("tag") == tag).count()
+        assert "PartitionFilters: [isnotnull(folder" in found._jdf.queryExecution().executedPlan().toString()
+    assert layout.by_tag(by_folder, "ORDER", ignore_case=True).count() == nodes.filter("tag = 'order'").count()
+    tags = [r["tag"] for r in layout.in_tag_order(by_folder).collect()]
+    assert tags == sorted(tags) == [r["tag"] for r in layout.index_only(by_folder, "tag", ordered=True).collect()]
+
+
+def test_trees_are_built_again_when_their_files_change(spark, tmp_path):
+    regions = lambda n: spark.createDataFrame([(i, f"R{i}") for i in range(n)], "r_regionkey long, r_name string").coalesce(1)
+    spark.createDataFrame([(0, "N", 0)], "n_nationkey long, n_name string, n_regionkey long").write.parquet(str(tmp_path / "nation.parquet"))
+    counts = []
+    for n in (2, 3, 3):
+        regions(n).write.mode("overwrite").parquet(str(tmp_path / "region.parquet"))
+        counts.append(queries.nodes(spark, str(tmp_path), "geo").filter("tag = 'region'").count())
+    assert counts == [2, 3, 3]
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from copse.sources.shared import shared_root
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    far = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf)
+    with pytest.raises(RuntimeError):
+        shared_root(far)
+
+
 def test_stream(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     docs = spark.createDataFrame([(i, f"<a><b>{i}</b></a>") for i in range(20)], "doc_id long, text string")

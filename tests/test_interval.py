@@ -48,6 +48,14 @@ def test_shredding_rules():
         shred_xml("<a><b></a>")
 
 
+def test_sections_and_instructions():
+    text = "<a>one<![CDATA[ <two> ]]>three<?target some data?><b><?empty?></b></a>"
+    assert [(r[3], r[2], r[4]) for r in shred_xml(text)] == [("a", 1, "element"), ("one <", 2, "text"), ("b", 2, "element")]
+    rows = shred_xml(text, marked=True)
+    well_formed(rows)
+    assert [(r[3], r[2], r[4]) for r in rows] == [("a", 1, "element"), ("one", 2, "text"), ("<two>", 2, "text"), ("#cdat", 2, "section"), ("three", 2, "text"), ("some ", 2, "text"), ("targe", 2, "instruction"), ("b", 2, "element"), ("empty", 3, "instruction")]
+
+
 def test_tag_soup():
     rows = shred_html("<p>one<br>two<script>if (a < b) x</script><ul><li>x<li>y</ul></div>tail")
     well_formed(rows)

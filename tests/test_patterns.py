@@ -127,6 +127,29 @@ def test_groups(nodes):
     assert {(r["group_no"], r["tag_3"]) for r in members} == set(enumerate(sorted(sizes("p9", 3)), 1))
 
 
+def test_groups_over_many_parts(spark):
+    """A tag that most witnesses have: places are right although its members lie in many parts."""
+    rows = [(d, s, s + 1, 2, "hot" if (d + s) % 3 else f"t{d % 7}") for d in range(60) for s in range(1, 40, 2)]
+    found = spark.createDataFrame(rows, "doc_id long, start_1 int, end_1 int, level_1 int, tag_1 string").repartition(13)
+    got = sorted((r["tag_1"], r["doc_id"], r["start_1"], r["group_no"], r["member_no"], r["group_size"]) for r in witness.group(found, 1).collect())
+    want, tags = [], sorted({r[4] for r in rows})
+    for no, tag in enumerate(tags, 1):
+        members = sorted((r[0], r[1]) for r in rows if r[4] == tag)
+        want += [(tag, d, s, no, k, len(members)) for k, (d, s) in enumerate(members, 1)]
+    assert got == sorted(want)
+    assert [(r["tag"], r["group_no"]) for r in witness.groups(found, 1).orderBy("group_no").collect()] == [(t, k) for k, t in enumerate(tags, 1)]
+    assert witness.group(found.limit(0), 1).count() == 0
+
+
+def test_usual_strategy(nodes):
+    from copse.operators.structural import LARGE, usual
+
+    plain = nodes.drop("ancestors", "parent_start")
+    assert (usual(nodes), usual(plain)) == ("equi", "labels")
+    assert usual(plain.withColumn("end", F.col("end") + LARGE)) == "bins"
+    assert rows(match(plain, pattern("p5"), strategy="auto")) == rows(match(nodes, pattern("p5"), strategy="auto"))
+
+
 def test_sort(nodes):
     out = execute(nodes, Query(pattern("p9"), None, "SRT", (3,))).collect()
     assert [(out[0][f"tag_{k}"], out[0][f"start_{k}"], out[0][f"end_{k}"]) for k in (1, 2, 3)] == [("Entry", 2, 409), ("Ref", 125, 170), ("Autho", 150, 153)]

@@ -118,3 +118,12 @@ def test_catalog(spark, tables):
         catalog.create(spark, "bad", [("a", "date")])
     with pytest.raises(ValueError):
         catalog.create(spark, "bad", [("a", "int")], [("1", "2")])
+
+
+def test_index_and_stored_statistics(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "id % 4 AS kind", "cast(id as string) AS name").repartition(7)
+    rows = lambda x: sorted(map(tuple, x.select("id", "kind", "name").collect()))
+    for i, (keys, folders) in enumerate(((("id",), False), (("kind", "id"), False), (("kind", "id"), True))):
+        assert rows(catalog.add_index(df, str(tmp_path / f"index{i}"), *keys, folders=folders)) == rows(df)
+    kept = catalog.analyze(df, str(tmp_path / "statistics"))
+    assert {(r["attribute"], r["tuples"], r["distinct"]) for r in kept.collect()} == {("id", 1000, 1000), ("kind", 1000, 4), ("name", 1000, 1000)}
