@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from copse.sources.shared import temporary
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: bytes.translate table that lower-cases A-Z only.
@@ -20,18 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a local one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "copse-checkpoints")
-    return root.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing.
+
+    The table is deleted by discard(), or else when the application ends.
+    """
+    path = temporary(df.sparkSession, name)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._copse_path = path
     return out

@@ -1,20 +1,26 @@
 """SimHash near-dedup with a bit-sliced comparison.
 
-A fingerprint has a bit for each of 64 places: 1 if set in more than half of the XXH64 hashes (seed 42) of the text's
-word shingles, repeats included. Fingerprints link at RADIUS or fewer differing bits; documents in one connected
-component are near-duplicates of one another.
-
-Equal fingerprints (all bits of them) are one node, however many documents share it. Nodes are put into buckets by keys: the 64 bits are
-cut into blocks, and two fingerprints within the radius agree on all blocks but RADIUS at least, so each choice of that
-many blocks is a key. Inside a task the buckets' fingerprints are stored as 64 bit planes. One pass over the planes
-compares every fingerprint with the one `shift` places further on: differing bits are added up in carry-save counters of
-three bits, for 64 lanes a machine word; a block of lanes is abandoned once all its distances exceed the radius. Large
-buckets are first thinned: what lies within the radius of a pivot joins the pivot's component at once, and pairs inside
-one component need no comparison. Buckets of more than TILE nodes are cut into tiles, and pairs of tiles are separate
-tasks. A task gives back a forest of links, not all pairs; components follow by alternating star contraction.
-
-dedup() takes five-word shingles and 128 bits: either half of them is compared as above with a wider radius, and a link
-also needs the other half to be near. Two unlike texts then never link, however many there are, while most near copies do.
+A fingerprint has a bit for each place: 1 if set in more than half of the hashes of the text's word shingles. Fingerprints
+link at a radius or fewer differing bits; documents in one connected component are near-duplicates of one another.
+
+op8 takes 64 bits of the XXH64 (seed 42) of four-word shingles, repeats included, and a radius of 4. Keys find every link:
+the bits are cut into blocks, and two fingerprints within the radius agree on all blocks but RADIUS at least, so each choice
+of that many blocks is a key.
+
+dedup() is for pairs of a similarity, the Jaccard similarity of the sets of five-word shingles. One of 0.8 is too far for a
+radius of 4 in 64 bits, so fingerprints have WORDS times 64 bits, from independent mixes of each shingle's hash. Two texts
+of similarity j differ in a share acos(2 j / (1 + j)) / pi of the bits, and the radius is that of the wanted similarity and
+MARGIN standard deviations more. Keys are slices of bits_of(n) bits, so many that such a pair shares one with a
+probability of FOUND; for n times as many documents it takes about n ** 0.24 times as many. Texts of lesser similarity
+link the more seldom the farther they are from it, unlike texts never do, and the README has measured shares.
+
+Equal fingerprints are one node, however many documents share it. Nodes are put into buckets by keys. Inside a task the
+buckets' fingerprints are stored as bit planes. One pass over the planes compares every fingerprint with the one `shift`
+places further on, or some pivots with all others: differing bits are added up in carry-save counters, for 64 lanes a
+machine word; a block of lanes is abandoned once all its distances exceed the radius. Large buckets are thinned: what lies
+within the radius of a pivot joins its component and is compared as a pivot only. Buckets of more than TILE nodes are cut
+into tiles, and pairs of tiles are separate tasks. A task gives back a forest of links, not all pairs; components follow by
+alternating star contraction.
 
 Defined results: texts without a word have fingerprint zero and link like any other; null counts as empty; repeated
 doc_ids are separate rows with the same component; a null doc_id never names a component unless the component has no
@@ -24,6 +30,8 @@ other; an empty table gives an empty result; further columns pass through dedup(
 from __future__ import annotations
 
 import itertools
+import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -39,63 +47,95 @@ from copse.llm.common import LOWER_TABLE, discard, free_name, materialise, read,
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
+#: Words of 64 bits in the fingerprints of dedup().
+WORDS = 8
+#: Standard deviations of the distance by which the radius lies above that of the wanted similarity.
+MARGIN = 1.8
+#: Share of the pairs of just the wanted similarity that have a key in common.
+FOUND = 0.97
+#: Least bits of a slice, and expected nodes in a bucket of evenly spread fingerprints from which on slices are longer.
+SLICE, SLICED = 10, 1024
 #: Nodes of a bucket that one task compares with one another; beyond, pairs of tiles are compared.
 TILE = 1 << 14
 #: Words in a block that is abandoned as a whole; each has 64 lanes.
-BLOCK_WORDS = 64
-#: Expected nodes in a bucket of evenly spread fingerprints, from which on keys take one more block.
+BLOCK_WORDS = 8
+#: The same as SLICED for keys of blocks, from which on they take one more block.
 BUCKET = 4096
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+#: Rows whose bits are counted together in bytes.
+_BYTE = 255
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, wide: bool = False) -> tuple[int, int]:
-    """Of UTF-8 text: the 64-bit fingerprint and, if wide, 64 more bits (else 0); wide ones are made of XXH3's 128 bits.
+def mixed(hashes: np.ndarray, words: int) -> np.ndarray:
+    """(hashes, words): independent mixes of each 64-bit hash."""
+    z = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-    In wide ones, a bit that is set in just half of the hashes is as in the least hash. Else texts of few shingles would have few bits set, and unlike ones would be near.
 
-    Hashes are counted in bounded portions, so long texts need no more memory than their words.
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many rows (rows, words) have each bit: a byte a bit, eight of them added at a time."""
+    bits = np.unpackbits(np.ascontiguousarray(rows.astype("<u8")).view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    return np.add.reduceat(bits, np.arange(0, len(rows), _BYTE), axis=0).view(np.uint8).sum(0, dtype=np.int64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, words: int = 0) -> list[int]:
+    """Of UTF-8 text: one number of 64 bits, or `words` of them.
+
+    With words, the shingles are a set, and a bit that is set in just half of them is as in the least hash: else texts of few
+    shingles would have few bits set, and unlike ones would be near. Hashes are counted in bounded portions, so long texts
+    need no more memory than their words.
     """
-    words = _WORD.findall(text.translate(LOWER_TABLE))
-    if not words:
-        return 0, 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    found = _WORD.findall(text.translate(LOWER_TABLE))
+    size = words or 1
+    if not found:
+        return [0] * size
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) > shingle:
-        starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
+    if len(found) > shingle:
+        starts, ends = starts[: len(found) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    size = 16 if wide else 8
-    h, counts, least = xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest, np.zeros(8 * size, np.int64), b"\xff" * size
-    for at in range(0, len(starts), 8192):
-        each = [h(joined[a:b], SEED) for a, b in zip(starts[at : at + 8192].tolist(), ends[at : at + 8192].tolist(), strict=True)]
-        least, hashes = min(least, *each) if wide else least, b"".join(each)
-        # digests are big-endian: their last byte has the lowest bits
-        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, size)[:, ::-1], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    set_ = 2 * counts > len(starts)
-    if wide:
-        set_ |= (2 * counts == len(starts)) & (np.unpackbits(np.frombuffer(least, np.uint8)[::-1], bitorder="little") == 1)
-    bits = np.packbits(set_, bitorder="little").view("<u8")
-    return int(bits[0]), int(bits[1]) if wide else 0
-
-
-def _fingerprints(shingle: int, wide: bool, text: str):
+    h = xxhash.xxh64_intdigest
+    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    if words:
+        hashes = np.unique(hashes)
+    counts = np.zeros(64 * size, np.int64)
+    for at in range(0, len(hashes), 16 * _BYTE):
+        part = hashes[at : at + 16 * _BYTE]
+        counts += bit_counts(mixed(part, words) if words else part[:, None])
+    set_ = 2 * counts > len(hashes)
+    if words:
+        least = np.unpackbits(mixed(hashes[:1], words).astype("<u8").view(np.uint8)[0], bitorder="little")
+        set_ |= (2 * counts == len(hashes)) & (least == 1)
+    return np.packbits(set_, bitorder="little").view("<u8").tolist()
+
+
+def names(words: int) -> list[str]:
+    """Columns of a fingerprint."""
+    return [f"f{i}" for i in range(words or 1)]
+
+
+def _fingerprints(shingle: int, words: int, text: str, called: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from copse.llm.simhash import fingerprint
 
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).cast(pa.binary())
-            both = np.array([fingerprint(t.as_py() or b"", shingle, wide) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(both[:, 0]), pa.array(both[:, 1])], [*b.schema.names, "fp", "more"])
+            found = np.array([fingerprint(t.as_py() or b"", shingle, words) for t in texts], np.uint64).reshape(-1, len(called)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.ascontiguousarray(f)) for f in found.T]], [*b.schema.names, *called])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
-    """(doc_id, fp, more): the fingerprint and its further bits as signed 64-bit integers."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text", words: int = 0) -> DataFrame:
+    """(doc_id, f0, f1, ...): the fingerprint as signed 64-bit integers."""
     ship(docs.sparkSession)
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle, wide, "text"), "doc_id long, text string, fp long, more long").drop("text")
+    called = names(words)
+    return rows.mapInArrow(_fingerprints(shingle, words, "text", called), "doc_id long, text string, " + ", ".join(f"{f} long" for f in called)).drop("text")
 
 
 class Forest:
@@ -125,56 +165,72 @@ class Forest:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes: row b holds bit b of all fingerprints, 64 lanes a word, with a word of padding."""
-    n = len(fps)
-    bits = np.unpackbits(np.ascontiguousarray(fps.astype("<u8")).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    words = -(-n // 64) + 1
-    padded = np.zeros((64, words * 64), np.uint8)
+    """Bit planes of fingerprints (rows, words): row b holds bit b of all of them, 64 lanes a word, with a word of padding."""
+    n, words = fps.shape
+    bits = np.unpackbits(np.ascontiguousarray(fps.astype("<u8")).view(np.uint8), axis=1, bitorder="little")
+    padded = np.zeros((64 * words, (-(-n // 64) + 1) * 64), np.uint8)
     padded[:, :n] = bits.T
     return np.packbits(padded, axis=1, bitorder="little").view("<u8")
 
 
+def _add(one: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A full adder for each lane: sum and carry."""
+    x = a ^ b
+    return one ^ x, (a & b) | (one & x)
+
+
 def within(left: np.ndarray, right: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Lanes (a bit each) in which planes left and right differ in radius places at most.
 
-    Three counter bits a lane, carry-save; a count of 8 sticks. Every 8 planes, blocks whose lanes all exceed the radius
+    left: planes like right's, or one word a plane. Eight planes at a time go through carry-save adders into counters of
+    radius.bit_length() bits at least; a count beyond them sticks. Now and then, blocks whose lanes all exceed the radius
     (or count for nothing in lanes) are abandoned.
     """
-    words = lanes.shape[0]
+    words, total = lanes.shape[-1], len(right)
     pad = -words % BLOCK_WORDS
-    alive, out = np.arange((words + pad) // BLOCK_WORDS), np.zeros(words, np.uint64)
+    each = total // 8 if total > 64 else 8  # planes between two looks at the counters
 
     def blocks(x: np.ndarray) -> np.ndarray:
         return (np.pad(x, [(0, 0)] * (x.ndim - 1) + [(0, pad)]) if pad else x).reshape(*x.shape[:-1], -1, BLOCK_WORDS)
 
-    left, right, open_ = blocks(left), blocks(right), blocks(lanes)
-    one, two, four, over = (np.zeros_like(open_) for _ in range(4))
-    result = np.zeros_like(open_)
-    for at in range(0, 64, 8):
+    alive, out = np.arange((words + pad) // BLOCK_WORDS), np.zeros(words + pad, np.uint64).reshape(-1, BLOCK_WORDS)
+    same = left.shape[-1] == 1
+    left, right, open_ = left[:, :, None] if same else blocks(left), blocks(right), blocks(lanes)
+    counter = [np.zeros_like(open_) for _ in range(max(3, radius.bit_length()))]
+    over = np.zeros_like(open_)
+    for at in range(0, total, 8):
         x = left[at : at + 8] ^ right[at : at + 8]
-        for d in x:
-            carry = one & d
-            one = one ^ d
-            more = two & carry
-            two = two ^ carry
-            over |= four & more
-            four = four ^ more
-        exceeds = over | exceeding(one, two, four, radius)
-        busy = (open_ & ~exceeds).any(1)
-        if not busy.all():
-            alive, one, two, four, over, open_, left, right = alive[busy], one[busy], two[busy], four[busy], over[busy], open_[busy], left[:, busy], right[:, busy]
-            if not len(alive):
-                return out
-    result[alive] = open_ & ~(over | exceeding(one, two, four, radius))
-    return result.reshape(-1)[:words]
-
-
-def exceeding(one: np.ndarray, two: np.ndarray, four: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count is over radius (at most 7)."""
-    out = np.zeros_like(one)
-    for n in range(radius + 1, 8):
-        out |= (one if n & 1 else ~one) & (two if n & 2 else ~two) & (four if n & 4 else ~four)
-    return out
+        fours = []
+        for half in (0, 4):
+            counter[0], a = _add(counter[0], x[half], x[half + 1])
+            counter[0], b = _add(counter[0], x[half + 2], x[half + 3])
+            counter[1], c = _add(counter[1], a, b)
+            fours.append(c)
+        counter[2], carry = _add(counter[2], *fours)
+        for k in range(3, len(counter)):
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+        over |= carry
+        if (at + 8) % each == 0 and at + 8 < total:
+            busy = (open_ & ~(over | exceeding(counter, radius))).any(1)
+            if not busy.all():
+                if not busy.any():
+                    return out.reshape(-1)[:words]
+                alive, open_, over, right, counter = alive[busy], open_[busy], over[busy], right[:, busy], [c[busy] for c in counter]
+                left = left if same else left[:, busy]
+    out[alive] = open_ & ~(over | exceeding(counter, radius))
+    return out.reshape(-1)[:words]
+
+
+def exceeding(counter: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count, from its lowest bit on, is over radius."""
+    over, equal = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
+    for k in reversed(range(len(counter))):
+        if radius >> k & 1:
+            equal = equal & counter[k]
+        else:
+            over |= equal & counter[k]
+            equal = equal & ~counter[k]
+    return over
 
 
 def lanes_of(mask: np.ndarray) -> np.ndarray:
@@ -193,12 +249,7 @@ def shifted(p: np.ndarray, shift: int, words: int) -> np.ndarray:
     return (low >> np.uint64(r)) | (high << np.uint64(64 - r))
 
 
-def agree(more: np.ndarray | None, i, j, check: int) -> np.ndarray:
-    """Whether the further bits of nodes i and j differ in check places at most."""
-    return np.ones(np.broadcast(i, j).shape, bool) if more is None else np.bitwise_count(more[i] ^ more[j]) <= check
-
-
-def link_small(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, forest: Forest, radius: int = RADIUS, more: np.ndarray | None = None, check: int = 64) -> None:
+def link_small(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, forest: Forest, radius: int = RADIUS) -> None:
     """Joins what lies within the radius inside each bucket. Buckets lie one after the other, the largest first."""
     after = np.repeat(starts + sizes, sizes) - 1 - np.arange(len(fps))  # rows of the same bucket that follow
     p, falling = planes(fps), -np.repeat(sizes, sizes)
@@ -208,68 +259,76 @@ def link_small(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, forest: F
         ok = np.zeros(words * 64, np.uint8)
         ok[:reach] = after[:reach] >= shift
         lanes = np.packbits(ok, bitorder="little").view("<u8")
-        near = lanes_of(within(p[:, :words], shifted(p, shift, words), lanes, radius))
-        for i in near[agree(more, near, near + shift, check)].tolist():
+        for i in lanes_of(within(p[:, :words], shifted(p, shift, words), lanes, radius)).tolist():
             forest.join(i, i + shift)
 
 
-def link_large(fps: np.ndarray, first: int, forest: Forest, radius: int = RADIUS, more: np.ndarray | None = None, check: int = 64) -> None:
+#: Pivots that are compared with a large bucket at a time.
+PIVOTS = 32
+
+
+def link_large(fps: np.ndarray, first: int, forest: Forest, radius: int = RADIUS) -> None:
     """The same for one large bucket, whose row 0 is the forest's member first.
 
-    A search from a pivot takes whatever lies within the radius of a member, so a component that is found whole is
-    compared no more; rows that are taken leave their lanes, and the planes are packed anew when half of them are empty.
+    Pivots are compared with all open rows at once, side by side in the lanes. What lies within the radius of one closes,
+    as its component is known, and becomes a pivot later on, so a component that is found whole is compared no more; the
+    planes are packed anew when half of the rows are closed.
     """
-    rows = np.arange(len(fps))
-    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
+    rows, open_, queue, seen = np.arange(len(fps)), np.ones(len(fps), bool), [], 0
     p = planes(fps)[:, : -(-len(fps) // 64)]
-    ok = np.zeros(p.shape[1] * 64, np.uint8)
-    ok[: len(fps)] = 1
-    lane = np.arange(len(fps))  # where a row stands in the planes
-    held, queue, seed = len(fps), [], 0
-    while held > 0 or queue:
-        if not queue:
-            while not ok[lane[seed]] if lane[seed] >= 0 else True:
-                seed += 1
-            queue, ok[lane[seed]], held = [seed], 0, held - 1
-        i = queue.pop()
-        if not held:
+    while True:
+        held = open_[rows]
+        if not held.any():
+            return
+        if 2 * held.sum() < len(rows) and len(rows) > 1024:
+            rows = rows[held]
+            p, held = planes(fps[rows])[:, : -(-len(rows) // 64)], np.ones(len(rows), bool)
+        # the first pivot of a bucket may hold most of it, so it goes alone
+        take = 1 if seen == 0 else PIVOTS
+        pivots, queue = queue[-take:], queue[:-take]
+        seeds = np.flatnonzero(held)[: take - len(pivots)]
+        open_[rows[seeds]] = False
+        pivots += rows[seeds].tolist()
+        seen += len(pivots)
+        bits = np.unpackbits(np.ascontiguousarray(fps[pivots].astype("<u8")).view(np.uint8), axis=1, bitorder="little").T
+        left = np.repeat(np.where(bits == 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)), p.shape[1], axis=1)
+        ok = np.zeros(p.shape[1] * 64, np.uint8)
+        ok[: len(rows)] = held
+        lanes = np.tile(np.packbits(ok, bitorder="little").view("<u8"), len(pivots))
+        mask = within(left, np.tile(p, (1, len(pivots))), lanes, radius)
+        near = np.unpackbits(mask.view(np.uint8), bitorder="little").reshape(len(pivots), -1)[:, : len(rows)]
+        hit = np.flatnonzero(near.any(0))
+        if not len(hit):
             continue
-        one = np.where((fps[i] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) == 1, ones, np.uint64(0))[:, None]
-        near = lanes_of(within(np.broadcast_to(one, p.shape), p, np.packbits(ok, bitorder="little").view("<u8"), radius))
-        near = near[agree(more, i, rows[near], check)]
-        if len(near):
-            ok[near] = 0
-            held -= len(near)
-            for j in rows[near].tolist():
-                forest.join(first + i, first + j)
+        near = near[:, hit].astype(np.float32)
+        shared = near @ near.T  # pivots with a near row in common
+        for i, j in zip(*np.nonzero(np.triu(shared, 1)), strict=True):
+            forest.join(first + pivots[i], first + pivots[j])
+        for i, j in zip(near.argmax(0).tolist(), rows[hit].tolist(), strict=True):
+            forest.join(first + pivots[i], first + j)
+            if open_[j]:
+                open_[j] = False
                 queue.append(j)
-            if 2 * held < len(rows) and len(rows) > 4096:
-                rows = rows[ok[: len(rows)] == 1]
-                p = planes(fps[rows])[:, : -(-len(rows) // 64)]
-                ok = np.zeros(p.shape[1] * 64, np.uint8)
-                ok[: len(rows)] = 1
-                lane = np.full(len(fps), -1)
-                lane[rows] = np.arange(len(rows))
 
 
 #: Buckets of more nodes are searched one by one.
 SMALL = 2048
 #: Nodes whose planes are held at a time.
-HELD = 1 << 17
+HELD = 1 << 16
 
 
-def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, more: np.ndarray | None = None, check: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links inside buckets that lie one after the other: the places (root, member) of each row that is no root."""
+def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links inside buckets of fingerprints (rows, words) that lie one after the other: the places (root, member) of each row that is no root."""
     starts = np.cumsum(sizes) - sizes
     forest = Forest(len(fps))
     for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        link_large(fps[a : a + n], a, forest, radius, None if more is None else more[a : a + n], check)
+        link_large(fps[a : a + n], a, forest, radius)
     order = np.argsort(-sizes, kind="stable")
     order = order[(sizes[order] <= SMALL) & (sizes[order] > 1)]
     if len(order):
         at = np.concatenate([np.arange(a, a + n) for a, n in zip(starts[order].tolist(), sizes[order].tolist(), strict=True)])
         inner = Forest(len(at))
-        link_small(fps[at], np.cumsum(sizes[order]) - sizes[order], sizes[order], inner, radius, None if more is None else more[at], check)
+        link_small(fps[at], np.cumsum(sizes[order]) - sizes[order], sizes[order], inner, radius)
         roots = inner.roots()
         for i in np.flatnonzero(roots != np.arange(len(at))).tolist():
             forest.join(int(at[roots[i]]), int(at[i]))
@@ -278,15 +337,20 @@ def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, more: np.nda
     return roots[moved], moved
 
 
-def _links(radius: int, check: int | None):
+def _links(radius: int):
+    """Over batches (c, k, pair, id, f0, ...) in the order of the first three."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from copse.llm.simhash import HELD, links
 
         def done(keys: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
-            fps, more = keys[3].view(np.uint64), keys[4].view(np.uint64)
-            a, b = links(fps, np.diff(np.concatenate([[0], cut, [len(fps)]])), radius, None if check is None else more, check or 0)
-            a, b = keys[5][a], keys[5][b]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            fps = np.stack(keys[4:], axis=1).view(np.uint64)
+            a, b = links(fps, np.diff(np.concatenate([[0], cut, [len(fps)]])), radius)
+            return pa.RecordBatch.from_arrays([pa.array(keys[3][a]), pa.array(keys[3][b])], ["a", "b"])
+
+        def joined(held: list[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
+            keys = [np.concatenate(c) for c in zip(*held, strict=True)]
+            return keys, np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0) | (np.diff(keys[2]) != 0)) + 1
 
         held: list[tuple] = []
         n = 0
@@ -294,8 +358,7 @@ def _links(radius: int, check: int | None):
             held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
             n += batch.num_rows
             if n >= HELD:
-                keys = [np.concatenate([h[c] for h in held]) for c in range(6)]
-                change = np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0) | (np.diff(keys[2]) != 0)) + 1
+                keys, change = joined(held)
                 if len(change):  # the last bucket may go on in the next batch
                     yield done([k[: change[-1]] for k in keys], change[:-1])
                     held = [tuple(k[change[-1] :] for k in keys)]
@@ -303,8 +366,7 @@ def _links(radius: int, check: int | None):
                 else:
                     held = [tuple(keys)]
         if n:
-            keys = [np.concatenate([h[c] for h in held]) for c in range(6)]
-            yield done(keys, np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0) | (np.diff(keys[2]) != 0)) + 1)
+            yield done(*joined(held))
 
     return run
 
@@ -319,20 +381,46 @@ def key_masks(n: int, radius: int = RADIUS) -> list[int]:
     return [sum(c) for c in itertools.combinations(block, blocks - radius)]
 
 
+def differing(similarity: float) -> float:
+    """Share of the bits in which two texts of a Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius_of(similarity: float, words: int = WORDS) -> int:
+    """Distance that texts of the similarity keep within, but for a normal deviation of MARGIN."""
+    n, p = 64 * words, differing(similarity)
+    return int(n * p + MARGIN * math.sqrt(n * p * (1 - p)))
+
+
+def bits_of(n: int) -> int:
+    return max(SLICE, math.ceil(math.log2(max(1, n / SLICED))))
+
+
+def slices(n: int, similarity: float, words: int = WORDS) -> list[tuple[int, int]]:
+    """(word, mask) of the keys for n fingerprints: slices of bits that don't overlap while there are any, then random ones."""
+    bits = bits_of(n)
+    count = math.ceil(math.log(1 - FOUND) / math.log(1 - (1 - differing(similarity)) ** bits))
+    rng, out = random.Random(bits), []
+    for i in range(count):
+        at, word = divmod(i, words)
+        out.append((word, ((1 << bits) - 1) << (at * bits) if (at + 1) * bits <= 64 else sum(1 << b for b in rng.sample(range(64), bits))))
+    return out
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_pairs(nodes: DataFrame, radius: int = RADIUS, check: int | None = None) -> DataFrame:
-    """(a, b): a forest, in each bucket, of the links between nodes (id, fp, more), by id.
+def near_pairs(nodes: DataFrame, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """(a, b): a forest, in each bucket, of the links between nodes (id, f0, ...), by id.
 
-    With check, the further bits are compared within the radius, too, and the first ones then checked: either half can link.
+    Keys are blocks that no pair within the radius escapes, or, for fingerprints of several words, slices for pairs of a similarity.
     """
     ship(nodes.sparkSession)
-    masks = key_masks(nodes.count(), radius)
-    halves = [("fp", "more")] if check is None else [("fp", "more"), ("more", "fp")]
-    keys = [F.struct(F.lit(i + len(masks) * h).alias("c"), F.col(x).bitwiseAND(F.lit(signed(m))).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")) for h, (x, y) in enumerate(halves) for i, m in enumerate(masks)]
-    dealt = nodes.select("id", F.explode(F.array(*keys)).alias("key")).select("key.c", "key.k", "key.x", "key.y", "id")
+    fps, n = [c for c in nodes.columns if c != "id"], nodes.count()
+    masks = [(0, m) for m in key_masks(n, radius)] if similarity is None else slices(n, similarity, len(fps))
+    keys = [F.struct(F.lit(i).alias("c"), F.col(fps[w]).bitwiseAND(F.lit(signed(m))).alias("k")) for i, (w, m) in enumerate(masks)]
+    dealt = nodes.select("id", *fps, F.explode(F.array(*keys)).alias("key")).select("key.c", "key.k", "id", *fps)
     hot = materialise(dealt.groupBy("c", "k").count().filter(F.col("count") > TILE).select(F.col("c").alias("hc"), F.col("k").alias("hk"), F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "simhash-hot")
     pair = F.lit(0).cast("long")
     if hot.isEmpty():
@@ -341,9 +429,9 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, check: int | None = None)
         mine, other = F.pmod(F.xxhash64("id"), F.col("tiles")), F.col("other").cast("long")
         dealt = dealt.join(hot, (F.col("c") == F.col("hc")) & (F.col("k") == F.col("hk")), "left")
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1)))
-        dealt = dealt.select("c", "k", F.when(F.col("tiles").isNull(), pair).otherwise(F.least(mine, other) * 2**31 + F.greatest(mine, other)).alias("pair"), "x", "y", "id")
-    sorted_ = dealt.select("c", "k", "pair", "x", "y", "id").repartition("c", "k", "pair").sortWithinPartitions("c", "k", "pair")
-    return sorted_.mapInArrow(_links(radius, check), "a long, b long")
+        dealt = dealt.withColumn("pair", F.when(F.col("tiles").isNull(), pair).otherwise(F.least(mine, other) * 2**31 + F.greatest(mine, other)))
+    sorted_ = dealt.select("c", "k", "pair", "id", *fps).repartition("c", "k", "pair").sortWithinPartitions("c", "k", "pair")
+    return sorted_.mapInArrow(_links(radius), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -353,7 +441,9 @@ def components(edges: DataFrame) -> DataFrame:
         # each vertex u with its neighbours v; the small star looks at lesser neighbours only
         e = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        # stored, so that adaptive execution can split the rows of a vertex that most edges share
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "simhash-stars")
+        used.append(least)
         joined = both.join(least, F.col("u") == F.col("w"))
         if large:
             out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -362,63 +452,70 @@ def components(edges: DataFrame) -> DataFrame:
         return out.filter("a <> b").distinct()
 
     now, before = materialise(edges.filter("a <> b").distinct(), "simhash-edges"), None
+    used: list[DataFrame] = []
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
         before, last = state, now
-        now = materialise(stars(stars(now, True), False), "simhash-edges")
-        discard(last)
+        half = materialise(stars(now, True), "simhash-edges")
+        now = materialise(stars(half, False), "simhash-edges")
+        for table in (last, half, *used):
+            discard(table)
+        used.clear()
 
 
 #: Nodes whose documents find their component by broadcast: the most frequent ones, if they have so many documents.
 HOT, HOT_ROWS = 1000, 1000
 
 
-def assign(prints: DataFrame, radius: int = RADIUS, check: int | None = None) -> DataFrame:
-    """(doc_id, fp, more, label, component_id) for each row of a stored table (doc_id, fp, more).
+def assign(prints: DataFrame, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """(doc_id, f0, ..., label, component_id) for each row of a stored table (doc_id, f0, ...).
 
-    A node is a pair (fp, more), so equal first bits link under the same rule as others. check: links must also differ in
-    so many of the further bits at most. label is the least id of a component's nodes, which no two components share, as they may share a doc_id.
+    label is the least id of a component's nodes, which no two components share, as they may share a doc_id.
     """
-    grouped = prints.groupBy("fp", "more").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    fps = [c for c in prints.columns if c != "doc_id"]
+    grouped = prints.groupBy(*fps).agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     nodes = materialise(grouped.withColumn("id", F.monotonically_increasing_id()), "simhash-nodes")
-    roots = components(near_pairs(nodes.select("id", "fp", "more"), radius, check))
-    labelled = nodes.join(roots, nodes["id"] == roots["v"], "left").select("fp", "more", "least", "n", F.coalesce("root", "id").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = materialise(labelled.join(least, "label").select("fp", "more", "n", "label", "component_id"), "simhash-named")
-    hot = named.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "fp", "more").limit(HOT).select("fp", "more", "label", "component_id")
-    both, columns = ["fp", "more"], ["doc_id", "fp", "more", "label", "component_id"]
-    settled = prints.join(F.broadcast(hot), both).select(*columns)
-    rest = prints.join(F.broadcast(hot.select(*both)), both, "left_anti").join(named.select(*columns[1:]), both).select(*columns)
+    roots = components(near_pairs(nodes.select("id", *fps), radius, similarity))
+    labelled = materialise(nodes.join(roots, nodes["id"] == roots["v"], "left").select(*fps, "least", "n", F.coalesce("root", "id").alias("label")), "simhash-labelled")
+    # a stored table of the components of several nodes only: small, or met by a join whose hot keys can be split
+    least = materialise(labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("m")).filter("m > 1").drop("m"), "simhash-least")
+    named = materialise(labelled.join(least, "label", "left").select(*fps, "n", "label", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
+    hot = named.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), *fps).limit(HOT).select(*fps, "label", "component_id")
+    columns = ["doc_id", *fps, "label", "component_id"]
+    settled = prints.join(F.broadcast(hot), fps).select(*columns)
+    rest = prints.join(F.broadcast(hot.select(*fps)), fps, "left_anti").join(named.select(*columns[1:]), fps).select(*columns)
     return settled.unionByName(rest)
 
 
-def dedup(docs: DataFrame, shingle: int = 5, radius: int = 7, check: int | None = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component stays: the row with its least doc_id, of several such rows one with the least fingerprint.
 
-    With check, fingerprints have 128 bits: one half must differ in radius places at most, the other half in check places.
-    The wider radius finds more near copies, and the check keeps unlike texts apart, however many documents there are.
+    similarity: of the shingle sets of linked documents; None: 64 bits and the radius, as in op8.
     """
     ship(docs.sparkSession)
-    wide = check is not None
-    prints = materialise(fingerprints(docs, shingle, doc_id, text, wide), "simhash-prints")
-    assigned = materialise(assign(prints, radius, check), "simhash-assigned")
+    words = 0 if similarity is None else WORDS
+    prints = materialise(fingerprints(docs, shingle, doc_id, text, words), "simhash-prints")
+    assigned = materialise(assign(prints, radius if similarity is None else radius_of(similarity), similarity), "simhash-assigned")
     keep = F.col("doc_id").eqNullSafe(F.col("component_id"))
     if prints.groupBy("doc_id").count().filter("count > 1").isEmpty():
         losers = assigned.filter(~keep).select(F.col("doc_id").alias("l_id"))
         return docs.join(losers, docs[doc_id].cast("long").eqNullSafe(F.col("l_id")), "left_anti")
     # doc_ids repeat: fingerprints tell their rows apart
-    name, rest, key = (free_name(docs.columns, x) for x in ("fp", "more", "id"))
+    fps = names(words)
+    called, key = [free_name(docs.columns, f) for f in fps], free_name(docs.columns, "id")
     inner = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    schema = T.StructType([*inner.schema.fields, T.StructField("fp", T.LongType()), T.StructField("more", T.LongType())])
-    full = inner.mapInArrow(_fingerprints(shingle, wide, f"c{docs.columns.index(text)}"), schema).toDF(*docs.columns, name, rest)
+    schema = T.StructType([*inner.schema.fields, *[T.StructField(f, T.LongType()) for f in fps]])
+    full = inner.mapInArrow(_fingerprints(shingle, words, f"c{docs.columns.index(text)}", fps), schema).toDF(*docs.columns, *called)
     full = full.withColumn(key, F.col(doc_id).cast("long"))
-    winners = assigned.filter(keep).groupBy("label").agg(F.min(F.struct("fp", "more")).alias("w"), F.first("component_id").alias("w_id")).select("w_id", F.col("w.fp").alias("w_fp"), F.col("w.more").alias("w_more"))
-    same = full[key].eqNullSafe(F.col("w_id")) & (full[name] == F.col("w_fp")) & (full[rest] == F.col("w_more"))
-    return full.join(winners, same, "left_semi").dropDuplicates([key, name, rest]).drop(key, name, rest)
+    winners = assigned.filter(keep).groupBy("label").agg(F.min(F.struct(*fps)).alias("w"), F.first("component_id").alias("w_id")).select("w_id", *[F.col(f"w.{f}").alias(f"w_{f}") for f in fps])
+    same = full[key].eqNullSafe(F.col("w_id"))
+    for f, c in zip(fps, called, strict=True):
+        same = same & (full[c] == F.col(f"w_{f}"))
+    return full.join(winners, same, "left_semi").dropDuplicates([key, *called]).drop(key, *called)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = materialise(fingerprints(read(spark, sf_dir, "documents")), "simhash-prints")
-    return assign(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return assign(prints).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -101,7 +101,7 @@ def test_bucket_links_are_the_components(seed):
             for b in rng.integers(0, 64, rng.integers(0, 6)):
                 v ^= 1 << int(b)
             fps[i] = v
-    a, b = (fps[x] for x in simhash.links(fps, np.array(sizes)))
+    a, b = (fps[x] for x in simhash.links(fps[:, None], np.array(sizes)))
     at, want = 0, []
     for n in sizes:
         part = fps[at : at + n]
@@ -124,20 +124,56 @@ def test_hot_bucket_is_cut_into_tiles(spark, monkeypatch):
     rng = random.Random(3)
     base = rng.getrandbits(64)
     fps = sorted({base ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 9))) & (2**64 - 1) for _ in range(400)})
-    prints = spark.createDataFrame([(i, simhash.signed(f & (2**64 - 1)), 0) for i, f in enumerate(fps)], "doc_id long, fp long, more long").persist()
+    prints = spark.createDataFrame([(i, simhash.signed(f & (2**64 - 1))) for i, f in enumerate(fps)], "doc_id long, f0 long").persist()
     roots = brute_components([f & (2**64 - 1) for f in fps])
     assert {(r["doc_id"], r["component_id"]) for r in simhash.assign(prints).collect()} == set(enumerate(roots))
 
 
-def test_further_bits_keep_unlike_texts_apart():
-    rng = np.random.default_rng(9)
-    fps = rng.integers(0, 2**64, 3000, dtype=np.uint64)
-    fps[1::2] = fps[::2] ^ np.uint64(0b111)
-    more = rng.integers(0, 2**64, 3000, dtype=np.uint64)
-    more[1::4] = more[::4]
-    for sizes in ([3000], [2] * 1500):
-        _, b = simhash.links(fps, np.array(sizes), 7, more, 16)
-        assert set(b.tolist()) == set(range(1, 3000, 4))
+@pytest.mark.parametrize("words", [1, 3, 8])
+def test_distances_by_brute_force(words):
+    """Counters of every width, near and far lanes, lanes that count for nothing, with one pivot and side by side."""
+    rng = np.random.default_rng(words)
+    fps = rng.integers(0, 2**64, (700, words), dtype=np.uint64)
+    for i in range(1, 700, 2):
+        fps[i] = fps[0]
+        for b in rng.integers(0, 64 * words, rng.integers(0, 120)):
+            fps[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    far = np.bitwise_count(fps[0] ^ fps).sum(1)
+    p = simhash.planes(fps)[:, : -(-700 // 64)]
+    ok = np.zeros(p.shape[1] * 64, np.uint8)
+    ok[:700] = rng.random(700) < 0.8
+    bits = np.unpackbits(fps[:1].astype("<u8").view(np.uint8), bitorder="little")
+    one = np.where(bits == 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None]
+    for radius in (0, 1, 4, 7, 8, 15, 16, 31, 64, 92):
+        got = simhash.lanes_of(simhash.within(one, p, np.packbits(ok, bitorder="little").view("<u8"), radius))
+        assert got.tolist() == np.flatnonzero((far <= radius) & (ok[:700] == 1)).tolist()
+
+
+@pytest.mark.parametrize("sizes", [[3000], [2] * 1500, [2049, 900, 51]])
+def test_wide_links_are_the_components(sizes):
+    """Small and large buckets of wide prints: chains, copies at all distances about the radius, unlike ones."""
+    rng, radius = np.random.default_rng(len(sizes)), simhash.radius_of(0.8)
+    fps = rng.integers(0, 2**64, (sum(sizes), simhash.WORDS), dtype=np.uint64)
+    for i in range(1, len(fps)):
+        if rng.random() < 0.6:
+            fps[i] = fps[i - 1]
+            for b in rng.permutation(64 * simhash.WORDS)[: rng.integers(radius - 60, radius + 30)]:
+                fps[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    roots, members = simhash.links(fps, np.array(sizes), radius)
+    got = np.arange(len(fps))
+    got[members] = roots
+    at = 0
+    for n in sizes:
+        near = np.stack([np.bitwise_count(fps[at + i] ^ fps[at : at + n]).sum(1) <= radius for i in range(n)])
+        label = np.arange(n)
+        while True:
+            new = np.where(near, label[None], n).min(1)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        assert (got[at : at + n] - at == label).all()
+        at += n
 
 
 def test_near_copies_go_and_others_stay(spark):
@@ -156,55 +192,79 @@ def test_near_copies_go_and_others_stay(spark):
     assert len(kept - set(range(120))) <= 6
 
 
-def brute_wide_components(prints: list[tuple[int, int]], radius: int = 7, check: int = 16) -> list[int]:
+def wide_components(prints: list[list[int]], keys: list[tuple[int, int]], radius: int) -> list[int]:
+    """The rule by all pairs: a key in common, and the radius."""
     label = list(range(len(prints)))
+    pairs = [
+        (i, j)
+        for i, a in enumerate(prints)
+        for j, b in enumerate(prints[:i])
+        if sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= radius and any(not (a[w] ^ b[w]) & m for w, m in keys)
+    ]
     while True:
         before = list(label)
-        for i, (a, b) in enumerate(prints):
-            for j in range(i):
-                x, y = (a ^ prints[j][0]).bit_count(), (b ^ prints[j][1]).bit_count()
-                if min(x, y) <= radius and max(x, y) <= check:
-                    label[i] = label[j] = min(label[i], label[j])
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
         if label == before:
             return label
 
 
-def test_equal_first_halves_are_nodes_of_their_own(spark):
-    """B shares A's first half and is near C in the second half only; D and E share the first half and are no copies."""
-    far, x = 0xFFF, 0x0123456789ABCDEF
-    prints = [(0, 0), (0, far), (0x3FF << 20, far ^ (7 << 40)), (x, 0), (x, (1 << 20) - 1)]
-    want = brute_wide_components(prints)
-    assert want == [0, 0, 0, 3, 4]
-    table = spark.createDataFrame([(i, *map(simhash.signed, p)) for i, p in enumerate(prints)], "doc_id long, fp long, more long").persist()
-    assert {(r["doc_id"], r["component_id"]) for r in simhash.assign(table, 7, 16).collect()} == set(enumerate(want))
-
-
-def test_dedup_of_128_bits_by_brute_force(spark):
-    """Chains of edited copies, some of which share half of the bits, short texts, repeated and empty ones, by default parameters."""
-    rng = random.Random(12)
+def chains(rng: random.Random) -> list[str]:
+    """Chains of edited copies, some of which share words of their prints, short texts, repeated and empty ones."""
     words = ["".join(rng.choice("aeiounrst") for _ in range(rng.randint(2, 7))) for _ in range(500)]
     texts = ["", "", "one", "one two three four five six", "one two three four five seven"]
     for _ in range(40):
         t = [rng.choice(words) for _ in range(rng.randint(60, 900))]
         for _ in range(rng.randint(2, 8)):
             texts.append(" ".join(t))
-            for _ in range(rng.randint(0, 2)):
+            for _ in range(rng.randint(0, 6)):
                 t[rng.randrange(len(t))] = rng.choice(words)
-    prints = [simhash.fingerprint(t.encode(), 5, True) for t in texts]
-    assert sum(a == b and x != y for i, (a, x) in enumerate(prints) for b, y in prints[:i]) > 5
-    roots = brute_wide_components(prints)
+    return texts
+
+
+def test_dedup_by_brute_force(spark):
+    """By default parameters, prints with equal parts included."""
+    texts = chains(random.Random(12))
+    prints = [simhash.fingerprint(t.encode(), 5, simhash.WORDS) for t in texts]
+    assert sum(a != b and any(x == y for x, y in zip(a, b, strict=True)) for i, a in enumerate(prints) for b in prints[:i]) > 5
+    n = len({tuple(p) for p in prints})
+    roots = wide_components(prints, simhash.slices(n, 0.8), simhash.radius_of(0.8))
+    assert len(set(roots)) < len(texts) - 20
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert {r["doc_id"] for r in simhash.dedup(docs).collect()} == set(roots)
     twice = docs.unionByName(docs.filter("doc_id % 3 = 0"))
     assert sorted(r["doc_id"] for r in simhash.dedup(twice).collect()) == sorted(set(roots))
 
 
+@pytest.mark.parametrize("n", [1000, 10**7, 10**10])
+def test_recall_and_precision_by_similarity(n):
+    """Texts of 300 words with words changed to a wanted Jaccard similarity: keys and radius find those of 0.8, and hardly any of 0.6."""
+    rng, radius, keys = random.Random(n), simhash.radius_of(0.8), simhash.slices(n, 0.8)
+    found: dict[int, list[bool]] = {8: [], 6: []}
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for _ in range(150):
+        words = [str(rng.random()) for _ in range(rng.randint(100, 500))]
+        copy = list(words)
+        while True:
+            copy[rng.randrange(len(copy))] = str(rng.random())
+            a, b = shingles(words), shingles(copy)
+            j = len(a & b) / len(a | b)
+            if j < 0.55:
+                break
+            if 0.8 <= j < 0.83 or 0.58 <= j < 0.61:
+                x, y = (simhash.fingerprint(" ".join(w).encode(), 5, simhash.WORDS) for w in (words, copy))
+                near = sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True)) <= radius
+                found[8 if j >= 0.8 else 6].append(near and any(not (x[w] ^ y[w]) & m for w, m in keys))
+    assert sum(found[8]) >= 0.9 * len(found[8]) > 50
+    assert sum(found[6]) <= 0.05 * len(found[6])
+
+
 def test_short_texts_spread_over_all_bits():
     """Unlike texts of two or four shingles differ in half of the bits, as long ones do."""
     rng = random.Random(2)
     for n in (6, 8, 300):
-        prints = [simhash.fingerprint(" ".join(str(rng.random()) for _ in range(n)).encode(), 5, True) for _ in range(200)]
-        apart = [(a ^ b).bit_count() for (a, x), (b, y) in zip(prints, prints[1:], strict=False) for a, b in ((a, b), (x, y))]
+        prints = [simhash.fingerprint(" ".join(str(rng.random()) for _ in range(n)).encode(), 5, simhash.WORDS) for _ in range(200)]
+        apart = [(x ^ y).bit_count() for a, b in zip(prints, prints[1:], strict=False) for x, y in zip(a, b, strict=True)]
         assert 30.5 < sum(apart) / len(apart) < 33.5
 
 
@@ -224,8 +284,8 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_near_dedup_keeps_one_of_each_component(spark, hard):
-    wide = hard.withColumn("fp", F.lit("mine"))
-    got = simhash.dedup(wide, 4, 4, None)
+    wide = hard.withColumn("f0", F.lit("mine"))
+    got = simhash.dedup(wide, 4, None)
     assert got.columns == wide.columns
     rows = [(r["doc_id"], r["text"]) for r in hard.collect()]
     roots = brute_components([brute_fingerprint(t) for _, t in rows])
@@ -233,4 +293,4 @@ def test_near_dedup_keeps_one_of_each_component(spark, hard):
     unique = hard.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = sorted((r["doc_id"], r["text"]) for r in unique.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect())
     roots = brute_components([brute_fingerprint(t) for _, t in rows])
-    assert sorted(r["doc_id"] for r in simhash.dedup(unique, 4, 4, None).collect()) == sorted({rows[r][0] for r in roots})
+    assert sorted(r["doc_id"] for r in simhash.dedup(unique, 4, None).collect()) == sorted({rows[r][0] for r in roots})
