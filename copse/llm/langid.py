@@ -62,25 +62,27 @@ def codewords(n: int) -> np.ndarray:
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of some texts, and where each text's begin (an end follows the last)."""
-    data = [b" " + t.lower().encode("utf-8", "replace") + b" " for t in texts]
+    data = [b" " + t.lower().encode("utf-8", "replace") + b"  " for t in texts]
     sizes = np.array([len(d) for d in data], np.int64)
     raw = _KEEP[np.frombuffer(b"".join(data), np.uint8)]
     gap = raw == 0
     keep = ~gap
     keep[1:] |= gap[1:] & ~gap[:-1]  # runs of gaps are one
-    keep[np.cumsum(sizes) - sizes] = True
+    last = np.cumsum(sizes) - 1
+    keep[last - sizes + 1] = keep[last] = True
     x = raw[keep].astype(np.uint32)
     of = np.repeat(np.arange(len(texts)), sizes)[keep]
     n = np.bincount(of, minlength=len(texts))
-    # every position yields one n-gram of each order; those that would reach into the next text take its leading gap
+    # every position but a text's last yields one n-gram of each order; none reaches beyond that gap and the next text's first
     pad = np.concatenate([x, np.zeros(max(ORDERS), np.uint32)])
     out, h = [], np.zeros(len(x), np.uint32)
     for order in ORDERS:
         h = (h * _MIX[0]) ^ (pad[order - 1 : order - 1 + len(x)] + np.uint32(257 * order)) * _MIX[1]
         g = (h ^ (h >> np.uint32(15))) * _MIX[2]
         out.append(((g >> np.uint32(13)) ^ g) & np.uint32(BUCKETS - 1))
-    ends = np.concatenate([[0], np.cumsum(n)])
-    return np.stack(out), ends
+    own = np.ones(len(x), bool)
+    own[np.cumsum(n) - 1] = False
+    return np.stack(out)[:, own], np.concatenate([[0], np.cumsum(n - 1)])
 
 
 class Model:
@@ -148,7 +150,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from copse.llm.langid import BUCKETS, grams
 
     for b in batches:
-        langs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+        texts = [t or "" for t in b.column(1).to_pylist()]
         buckets, values = [], []
         for t in texts:
             g, _ = grams([t])
@@ -156,11 +158,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(counts)
             buckets.append(at.astype("<u2").tobytes())
             values.append((counts[at] / g.shape[1]).astype("<f4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(buckets, pa.binary()), pa.array(values, pa.binary())], ["lang", "buckets", "values"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(buckets, pa.binary()), pa.array(values, pa.binary())], ["lang", "spread", "h", "buckets", "values"])
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """labelled: doc_id, text, lang. At most about max_rows rows are used, by the least hashes of doc_id in each language."""
+    """labelled: doc_id, text, lang. About max_rows rows are used, by the least hashes of doc_id in each language.
+
+    Never more than twice as many, however often doc_ids repeat: then those with the least hashes of doc_id and text.
+    """
     ship(labelled.sparkSession)
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows).collect()}
@@ -171,7 +176,8 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     wanted = F.lit(False)
     for lang, n in counts.items():
         wanted = wanted | ((F.col("lang") == lang) & (spread < int(min(1.0, each / n) * (1 << 30))))
-    rows = usable.filter(wanted).select("lang", "text").mapInArrow(_features, "lang string, buckets binary, values binary").limit(2 * max_rows).collect()
+    picked = usable.filter(wanted).select("lang", "text", spread.alias("spread"), F.xxhash64("text", "lang").alias("h"))
+    rows = picked.mapInArrow(_features, "lang string, spread long, h long, buckets binary, values binary").orderBy("spread", "h").limit(2 * max_rows).collect()
     return fit([(r["lang"], np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["values"], "<f4")) for r in sorted(rows, key=lambda r: (r["lang"], bytes(r["buckets"]), bytes(r["values"])))])
 
 

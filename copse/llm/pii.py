@@ -2,14 +2,20 @@
 
 Base spans (e-mail addresses, IP addresses, card and phone numbers) come from fixed patterns, found in linear time. The
 tagger adds spans that the patterns miss, such as phone numbers without a country code in the forms of the United
-States, Germany, France, Spain and Britain; runs of digits without a separator are no phone numbers. It is trained in numpy from
-labelled spans (by default a generated, seeded set of MAX_EXAMPLES texts), then whole texts are cut into overlapping
-windows, each window is decoded by Viterbi under the transitions, and the windows' spans are reconciled over the whole
-text: of two windows that see a span, the one whose middle is nearer to it decides.
+States, Germany, France, Spain and Britain. It is trained in numpy from labelled spans (by default a generated, seeded set
+of MAX_EXAMPLES texts), then whole texts are cut into overlapping windows, each window is decoded by Viterbi under the
+transitions, and the windows' spans are reconciled over the whole text: of two windows that see a span whole, the one
+whose middle is nearer to it decides; pieces that windows' edges have cut off are put together where they overlap.
 
-Every kind contains a digit or an @, so the transitions allow no span without one: a window that has neither is decoded
-as empty by that rule, without running the network. Added spans never overlap base spans, which all stay; a French number with
-dots (06.12.34.56.78) begins with what the pattern of IP addresses takes, so only that part is found.
+Every kind contains a trigger, a digit or an @. The automaton of the decoding holds that rule: its states tell whether the
+open span has had a trigger, and only spans that have may end. A window without a trigger has one path, that of no span, so
+such windows are not run; run or not, the result is the same, and the tests compare both.
+
+What a decoded span must hold besides, whatever the tagger says (see plausible()): an e-mail address an @ between other
+characters and a dot; an IP address three dots and four digits; a card number 13 to 19 digits that pass Luhn; a phone number 9
+to 15 digits, one separator at least, and nothing but digits and separators. So runs of digits without a separator are no
+phone numbers. Added spans never overlap base spans, which all stay; a French number with dots (06.12.34.56.78) begins with
+what the pattern of IP addresses takes, so only that part is found.
 
 Defined results: null and empty texts have no span; texts shorter than a window are one window; repeated rows give
 repeated results; an empty table gives an empty result; redact() lets further columns through.
@@ -104,6 +110,8 @@ def _class_table() -> np.ndarray:
 
 
 _TABLE = _class_table()
+#: Classes of the characters without which no kind can be: digits and @.
+TRIGGERS = (27, 30 + _PLAIN.index("@"))
 
 
 def classes(text: str) -> np.ndarray:
@@ -122,6 +130,33 @@ def allowed() -> tuple[np.ndarray, np.ndarray]:
     return step, first
 
 
+class Automaton:
+    """States of the decoding: outside, and five for each kind, which tell whether its span has had a trigger.
+
+    begun without, begun with, goes on without, goes on at a trigger, goes on after one. A span that has had none can only go on.
+    """
+
+    def __init__(self) -> None:
+        n = 1 + 5 * len(KINDS)
+        self.tag = np.zeros(n, np.intp)
+        self.at_trigger = np.ones(n, bool)  # states that a trigger can be in
+        self.elsewhere = np.ones(n, bool)
+        self.step = np.zeros((n, n), bool)
+        self.first, self.last = np.zeros(n, bool), np.zeros(n, bool)
+        ends, begins = [0], [0]
+        for k in range(len(KINDS)):
+            begun, begun_with, bare, hit, after = range(1 + 5 * k, 6 + 5 * k)
+            self.tag[[begun, begun_with]], self.tag[[bare, hit, after]] = 1 + 2 * k, 2 + 2 * k
+            self.at_trigger[[begun, bare, after]] = False
+            self.elsewhere[[begun_with, hit]] = False
+            for a, b in ((begun, bare), (bare, bare), (begun, hit), (bare, hit), (begun_with, hit), (hit, hit), (after, hit), (begun_with, after), (hit, after), (after, after)):
+                self.step[a, b] = True
+            ends += [begun_with, hit, after]
+            begins += [begun, begun_with]
+        self.step[np.ix_(ends, begins)] = True
+        self.first[begins] = self.last[ends] = True
+
+
 class Tagger:
     """Bidirectional LSTM, one output layer, CRF. Arrays are (time, batch, ...)."""
 
@@ -133,6 +168,7 @@ class Tagger:
         for d in "fb":
             self.p |= {"x" + d: r(e, 4 * h), "h" + d: r(h, 4 * h), "b" + d: np.concatenate([np.ones(h), np.zeros(3 * h)]).astype(np.float32)}
         self.step_ok, self.first_ok = allowed()
+        self.automaton = Automaton()
 
     def _lstm(self, x: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """x: classes (time, batch); gates forget, input, output, cell. The input part is one table row a class."""
@@ -161,20 +197,23 @@ class Tagger:
         return np.where(self.step_ok, self.p["step"], -1e4).astype(np.float32)
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """Viterbi: the best tags (time, batch)."""
-        u, step = self.scores(x), self._masked()
-        best = np.where(self.first_ok, u[0], np.float32(-1e4))
+        """Viterbi over the automaton's states: the best tags (time, batch)."""
+        m, no = self.automaton, np.float32(-1e4)
+        trigger = np.isin(x, TRIGGERS)[:, :, None]
+        u = np.where(np.where(trigger, m.at_trigger, m.elsewhere), self.scores(x)[:, :, m.tag], no)
+        step = np.where(m.step, self.p["step"][np.ix_(m.tag, m.tag)], no).astype(np.float32)
+        best = np.where(m.first, u[0], no)
         back = np.empty(u.shape, np.uint8)
         for t in range(1, len(u)):
             s = best[:, :, None] + step
             back[t] = s.argmax(1)
             best = np.take_along_axis(s, back[t][:, None, :].astype(np.intp), 1)[:, 0] + u[t]
-        tags = np.empty(x.shape, np.uint8)
-        tags[-1] = best.argmax(1)
+        states = np.empty(x.shape, np.uint8)
+        states[-1] = np.where(m.last, best, 4 * len(u) * no).argmax(1)
         rows = np.arange(x.shape[1])
         for t in range(len(u) - 1, 0, -1):
-            tags[t - 1] = back[t][rows, tags[t]]
-        return tags
+            states[t - 1] = back[t][rows, states[t]]
+        return m.tag[states].astype(np.uint8)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Of the mean negative log-likelihood of tags y."""
@@ -364,18 +403,22 @@ def starts_of(length: int) -> range:
 _TRIGGER = re.compile(r"[0-9@]")
 
 
-def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
-    """The tagger's spans of whole texts: overlapping windows, reconciled."""
-    jobs: list[tuple[int, int]] = []
-    for i, t in enumerate(texts):
-        wanted: dict[int, None] = {}
-        for m in _TRIGGER.finditer(t):
-            last = m.start() // STRIDE
-            for w in range(max(0, (m.start() - WINDOW) // STRIDE + 1), last + 1):
-                if w * STRIDE in starts_of(len(t)):
-                    wanted[w * STRIDE] = None
-        jobs += [(i, s) for s in wanted]
+def with_trigger(text: str) -> list[int]:
+    """Beginnings of the windows that have a trigger; in the others the automaton has no path but that of no span."""
+    wanted: dict[int, None] = {}
+    for m in _TRIGGER.finditer(text):
+        last = m.start() // STRIDE
+        for w in range(max(0, (m.start() - WINDOW) // STRIDE + 1), last + 1):
+            if w * STRIDE in starts_of(len(text)):
+                wanted[w * STRIDE] = None
+    return list(wanted)
+
+
+def tagged_spans(texts: list[str], tagger: Tagger, every: bool = False) -> list[list[Span]]:
+    """The tagger's spans of whole texts: overlapping windows, reconciled. every: windows without a trigger are run, too."""
+    jobs = [(i, s) for i, t in enumerate(texts) for s in (starts_of(len(t)) if every else with_trigger(t))]
     seen: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
+    pieces: list[list[tuple[str, int, int, bool, bool]]] = [[] for _ in texts]
     for at in range(0, len(jobs), BATCH):
         part = jobs[at : at + BATCH]
         x = np.full((WINDOW, len(part)), 30 + _PLAIN.index("\n"), np.uint8)
@@ -387,17 +430,34 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
             i, s = part[j]
             for k, a, b in found(tags[:, j].tolist()):
                 a, b = s + a, min(s + b, len(texts[i]))
-                # a span that touches a window's edge, unless the text ends there, is for the neighbour to see
-                if a < b and (a > s or s == 0) and (b < s + WINDOW or b == len(texts[i])):
+                # a span that touches a window's edge, unless the text ends there, may go on in the neighbour
+                left, right = a == s and s > 0, b == s + WINDOW and b < len(texts[i])
+                if left or right:
+                    pieces[i].append((KINDS[k], a, b, left, right))
+                elif a < b:
                     seen[i].append((abs((a + b) / 2 - s - WINDOW / 2), KINDS[k], a, b))
-    out = []
-    for spans in seen:
-        taken: list[Span] = []
-        for _, kind, a, b in sorted(spans, key=lambda x: (x[0], x[2], x[3], x[1])):
-            if all(b <= c or d <= a for _, c, d in taken):
-                taken.append((kind, a, b))
-        out.append(taken)
-    return out
+    return [reconciled(spans, cut) for spans, cut in zip(seen, pieces, strict=True)]
+
+
+def reconciled(spans: list[tuple[float, str, int, int]], cut: list[tuple[str, int, int, bool, bool]]) -> list[Span]:
+    """Whole spans by how near they lie to their window's middle; then pieces that overlap, put together, if both ends are there."""
+    taken: list[Span] = []
+    for _, kind, a, b in sorted(spans, key=lambda x: (x[0], x[2], x[3], x[1])):
+        if all(b <= c or d <= a for _, c, d in taken):
+            taken.append((kind, a, b))
+    longer: list[list] = []
+    for kind, a, b, left, right in sorted(cut):
+        if not all(b <= c or d <= a for _, c, d in taken):
+            continue
+        if longer and longer[-1][0] == kind and a < longer[-1][2]:
+            if b > longer[-1][2]:
+                longer[-1][2], longer[-1][4] = b, right
+        else:
+            longer.append([kind, a, b, left, right])
+    for kind, a, b, left, right in longer:
+        if not left and not right and all(b <= c or d <= a for _, c, d in taken):
+            taken.append((kind, a, b))
+    return taken
 
 
 def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:

@@ -1,0 +1,143 @@
+"""The tagger on sentences written by hand, which its generator has no part in, and its decoding against plain searches."""
+
+from __future__ import annotations
+
+import itertools
+import re
+
+import numpy as np
+import pytest
+
+from copse.llm import pii
+
+#: Sentences with their personal data in brackets: [kind|text].
+SENTENCES = """
+You can reach the front desk at [phone|(415) 555-0132] between nine and five.
+My old number was [phone|212-555-0187], please do not use it any more.
+Fax the signed form to [phone|646.555.0109] or drop it off in person.
+Toll free: [phone|1-800-555-0199] (weekdays only)
+Sie erreichen uns unter [phone|030 901820] oder per Post.
+Die Werkstatt hat die Nummer [phone|0221/4710815], dort fragen Sie nach Herrn Vogel.
+Handy: [phone|0171 4567890]
+Bitte melden Sie sich bei der Hausverwaltung ([phone|089 21654-0]) oder im Büro.
+Notdienst am Wochenende: [phone|0711 / 216 0]
+Appelez le secrétariat au [phone|01 44 27 57 89] avant midi.
+Son portable est le [phone|06 98 76 54 32], il répond rarement.
+Le cabinet (tél. [phone|04-72-10-30-30]) est fermé le lundi.
+Llámame al [phone|612 345 678] cuando llegues a casa.
+El fontanero: [phone|91 398 60 00], pregunte por Luis.
+Teléfono de la oficina [phone|934 02 11 00], extensión dos.
+Ring me on [phone|07700 900461] after work.
+The surgery's number is [phone|0131 496 0588] and the line is busy every morning.
+Head office: [phone|020 7946 0321], ask for Ms Shaw.
+Bookings on [phone|(0161) 496 0872] only.
+Write to [email|maria.lopez@correo.es] or ring [phone|+34 612 345 678] instead.
+Contact [email|jan_de.vries@post.example.nl], he knows.
+Schreiben Sie an [email|jörg.weiß@büro-müller.de] für Rückfragen.
+Son adresse est [email|hélène@café-rivière.fr] depuis mars.
+The card [card|4111 1111 1111 1111] was declined twice.
+He read out [card|3782 822463 10005] over the phone.
+Kartennummer [card|5500-0055-5555-5559], gültig bis Mai.
+Carte [card|3714-496353-98431] expirée.
+The printer sits at [ip|192.168.0.14] behind the switch.
+Login from [ip|10.4.250.3] at noon.
+In 1998 the club had 1,250 members and 14 teams.
+The meeting on 12/05/2021 was moved to 2021-06-01, room 204.
+Version 3.11.2 of the tool needs 8.5 GB.
+The final score was 104-98 after 2 overtimes.
+Das Gesetz vom 23.05.1949 umfasst 146 Artikel.
+Kapitel 7, Seiten 112-139, erschienen 2004.
+Der Preis stieg von 1.250.000 auf 1.375.000 Euro.
+La loi du 29 juillet 1881 compte 70 articles, pages 12 à 48.
+Le prix est passé de 1 250 000 à 1 375 000 francs.
+La guerra de 1936-1939 dejó más de 500 000 muertos.
+ISBN 978-0-306-40615-7 is out of print.
+Order 100200300 shipped in 3 parcels of 12.5 kg.
+Latitude 48.8566, longitude 2.3522, altitude 35 m.
+Flight BA 0284 leaves at 17:45 from gate 32.
+The ratio 3/4 is not 0.75 % of 12 000.
+Follow @nightowl_99 for news about release 2.0.1.
+They met @ noon, paid $45.50 each and left at 14:05.
+In the years 2001, 2005, 2009 and 2013 turnout was 61, 58, 55 and 52 percent.
+The barcode 4006381333931 is printed below.
+Recipe: 200 g flour, 100 g butter, 50 g sugar, 180 degrees, 25 minutes.
+""".strip().splitlines()
+
+
+def labelled(line: str) -> tuple[str, list[pii.Span]]:
+    text, spans = "", []
+    for part in re.split(r"(\[[a-z]+\|[^\]]*\])", line):
+        m = re.fullmatch(r"\[([a-z]+)\|([^\]]*)\]", part)
+        if m:
+            spans.append((m[1], len(text), len(text) + len(m[2])))
+        text += m[2] if m else part
+    return text, spans
+
+
+def measured() -> tuple[float, float, list]:
+    """Precision and recall of exact spans, and what was wrong."""
+    cases = [labelled(x) for x in SENTENCES]
+    right = wrong = missed = 0
+    errors = []
+    for (text, want), (_, got) in zip(cases, pii.all_spans([t for t, _ in cases], pii.default_tagger()), strict=True):
+        a, b = set(got), set(want)
+        right, wrong, missed = right + len(a & b), wrong + len(a - b), missed + len(b - a)
+        errors += [(text, sorted(a - b), sorted(b - a))] if a != b else []
+    return right / (right + wrong), right / (right + missed), errors
+
+
+def test_sentences_written_by_hand():
+    precision, recall, errors = measured()
+    assert precision >= 0.9 and recall >= 0.8, errors
+    # the base patterns alone find far less
+    base = sum(set(pii.base_spans(t)) >= set(s) for t, s in map(labelled, SENTENCES) if s)
+    assert base < 0.5 * sum(bool(labelled(x)[1]) for x in SENTENCES)
+
+
+def test_windows_without_a_trigger_have_no_span():
+    """Running every window gives what running those with a digit or an @ gives."""
+    texts = [labelled(x)[0] for x in SENTENCES]
+    texts += ["\n".join(texts), " and so on ".join(texts) * 3, "no digit in here at all " * 30, "", "x" * 500]
+    tagger = pii.default_tagger()
+    assert pii.tagged_spans(texts, tagger, every=True) == pii.tagged_spans(texts, tagger)
+    # whatever the weights are
+    odd = pii.Tagger(3)
+    odd.p["bias"] = odd.p["bias"] + np.linspace(0, 3, pii.TAGS).astype(np.float32)
+    got = pii.tagged_spans(texts, odd, every=True)
+    assert got == pii.tagged_spans(texts, odd) and any(got)
+    assert all(re.search("[0-9@]", t[a:b]) for t, spans in zip(texts, got, strict=True) for _, a, b in spans)
+
+
+@pytest.mark.parametrize("text", ["ab1", "1a@b", "abcd", "@", "a1 2b"])
+def test_decoding_by_brute_force(text):
+    """The best of all tag sequences in which every span begins properly and holds a trigger."""
+    tagger = pii.Tagger(1)
+    tagger.p["bias"] = tagger.p["bias"] + np.linspace(0, 2, pii.TAGS).astype(np.float32)
+    x = pii.classes(text)[:, None]
+    u, step = tagger.scores(x)[:, 0], tagger.p["step"]
+
+    def legal(tags) -> bool:
+        spans = pii.found(list(tags))
+        covered = sum(b - a for _, a, b in spans)
+        return covered == sum(t > 0 for t in tags) and all(re.search("[0-9@]", text[a:b]) for _, a, b in spans)
+
+    best = max((tags for tags in itertools.product(range(pii.TAGS), repeat=len(text)) if legal(tags)), key=lambda tags: sum(u[i, t] for i, t in enumerate(tags)) + sum(step[a, b] for a, b in itertools.pairwise(tags)))
+    assert tuple(tagger.decode(x)[:, 0]) == best
+
+
+def test_spans_longer_than_the_overlap():
+    """Pieces that windows cut off are put together; a piece whose other end no window saw is none."""
+    whole = [(0.0, "phone", 10, 20)]
+    assert pii.reconciled(whole, []) == [("phone", 10, 20)]
+    pieces = [("email", 30, 96, False, True), ("email", 48, 130, True, False)]
+    assert pii.reconciled(whole, pieces) == [("phone", 10, 20), ("email", 30, 130)]
+    assert pii.reconciled([], pieces[:1]) == pii.reconciled([], pieces[1:]) == []
+    three = [("email", 30, 96, False, True), ("email", 48, 144, True, True), ("email", 96, 180, True, False)]
+    assert pii.reconciled([], three) == [("email", 30, 180)]
+    assert pii.reconciled([(3.0, "card", 60, 80)], pieces) == [("card", 60, 80)]
+
+
+def test_very_long_span():
+    address = "someone.with.a.very.long.name.and.many.more.parts.of.it." + "x" * 300 + "@" + "mail." * 60 + "example.org"
+    (base, spans), = pii.all_spans([f"write to {address} today"], pii.default_tagger())
+    assert base == [("email", 9, 9 + len(address))] and spans == base

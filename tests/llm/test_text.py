@@ -33,6 +33,53 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_margins(model: langid.Model, text: str) -> list[float]:
+    """By a loop over characters, n-grams and bits."""
+    seq, wide = [0], (1 << 32) - 1
+    for c in text.lower().encode("utf-8", "replace"):
+        kept = c if 97 <= c <= 122 or c >= 128 else 0
+        if kept or seq[-1]:
+            seq.append(kept)
+    if seq[-1]:
+        seq.append(0)
+    sums = np.zeros(model.weights.shape[1])
+    for i in range(len(seq)):
+        h = 0
+        for order in langid.ORDERS:
+            c = seq[i + order - 1] if i + order - 1 < len(seq) else 0
+            h = (h * int(langid._MIX[0]) & wide) ^ ((c + 257 * order) * int(langid._MIX[1]) & wide)
+            g = (h ^ (h >> 15)) * int(langid._MIX[2]) & wide
+            sums += model.weights[((g >> 13) ^ g) % langid.BUCKETS]
+    return list(sums / len(seq) + model.bias)
+
+
+def test_predictions_by_brute_force(spark, sf_dir):
+    """n-grams counted one by one, and a loop over codewords, whatever texts stand beside one another."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    texts = [r["text"] for r in docs.limit(30).collect()] + ["a", "É", "x y", "日本", "one, two -- three", "1 b 2", "ß" * 40]
+    got = model.predict(texts)
+    for text, (lang, score) in zip(texts, got, strict=True):
+        if not any(map(str.isalpha, text or "")):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        f = plain_margins(model, text)
+        losses = [sum(t * np.log1p(np.exp(-c * m)) for t, c, m in zip(model.trust, code, f, strict=True)) for code in model.code]
+        shares = [np.exp(min(losses) - x) for x in losses]
+        best = min(range(len(losses)), key=losses.__getitem__)
+        assert lang == model.langs[best] and abs(score - 1 / sum(shares)) < 1e-3
+    for i, text in enumerate(texts):
+        assert model.predict([text])[0][0] == got[i][0] and abs(model.predict([text])[0][1] - got[i][1]) < 1e-6
+
+
+def test_sample_is_the_same_for_any_partitions(spark):
+    """Many rows under one doc_id: more than the bound, which the same rows fill however the table is cut."""
+    rows = [(7, f"the {i} and of it" if i % 2 else f"der {i} und die", "en" if i % 2 else "de") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (langid.train(d, max_rows=20) for d in (docs.repartition(3), docs.orderBy("text").repartition(11)))
+    assert one.langs == two.langs and (one.weights == two.weights).all() and (one.bias == two.bias).all()
+
+
 def test_unknown_texts(spark, hard, folder):
     got = {r["doc_id"]: r for r in langid.op3_langid(spark, folder).collect()}
     texts = {r["doc_id"]: r["text"] for r in hard.filter("doc_id IS NOT NULL").collect()}
