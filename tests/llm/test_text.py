@@ -378,6 +378,62 @@ def test_hosts_agree_on_a_path(spark):
     assert texts[55].startswith("Long text")
 
 
+VOTED = {
+    "shop": ('<div class="top"><p>{lure}</p></div><div class="info"><h2>Details</h2><p>{body}</p></div>', "info"),
+    "forum": ('<table><tr><td class="who"><p>{lure}</p></td><td class="said"><p>{body}</p></td></tr></table>', "said"),
+    "press": ('<section class="lead"><p>{lure}</p></section><section class="rest"><p>{body}</p></section>', "rest"),
+}
+
+
+@pytest.mark.parametrize("host", VOTED)
+def test_votes_beat_a_page_of_its_own(spark, host):
+    """On one page in four another container has most text; its host's other pages say which one to take."""
+    layout, _ = VOTED[host]
+    rows, want = [], {}
+    for i in range(12):
+        lure, body = ("A line of little use. " * 40, f"The body of page {i} is short.") if i % 4 == 3 else ("Some words.", f"The body of page {i} goes on and on. " * 30)
+        rows.append((i, f"http://{host}.fr/{i}", f"<html><body>{layout.format(lure=lure, body=body)}</body></html>"))
+        want[i] = body.strip()
+    odd = [html.extract(html.blocks(rows[i][2]), None) for i in (3, 7, 11)]
+    assert all("of little use" in t for t in odd)
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].endswith(want[i]) and "of little use" not in got[i] for i in want)
+
+
+HOSTILE = {
+    "nested": "<div>" * 100_000 + "text",
+    "classes": "".join(f'<div class="c{"x" * (i % 50)}">' for i in range(100_000)) + "text",
+    "unmatched": "text" + "<span>" * 50_000 + "</p>" * 50_000 + "</div>" * 50_000,
+    "paragraphs": "<span>" * 50_000 + "<p>" * 50_000 + "text",
+    "lists": "<ul><li>" * 50_000 + "text",
+    "cells": "<table><tr><td>" * 20_000 + "text",
+    "quotes": "text" + "<a href='" * 100_000,
+    "open tags": "text" + "<a " * 100_000,
+    "brackets": "text" + "<" * 300_000,
+    "comments": "text" + "<!-- " * 100_000,
+    "scripts": "text" + "<script>x" * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    import time
+
+    began = time.process_time()
+    found = html.blocks(HOSTILE[name])
+    html.score(found)
+    assert html.extract(found, None).startswith("text") or name == "classes"
+    assert time.process_time() - began < 3
+
+
+def test_long_paths_keep_apart():
+    """Paths beyond the limit are digests: equal for equal beginnings only."""
+    deep = lambda x: html.blocks(f'<div class="{x}">' + '<div class="part">' * 200 + "<p>Text of a page, long enough.</p>")
+    a, b, c = deep("one"), deep("one"), deep("two")
+    assert a.paths == b.paths and max(map(len, a.paths)) <= html.LONG
+    assert not set(a.paths) & set(c.paths) and len(set(a.paths)) == len(a.paths) == 201
+
+
 def test_pages_of_the_driver(spark, sf_dir):
     import html as entities
 
