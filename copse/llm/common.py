@@ -6,7 +6,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from copse.sources.shared import temporary
 
@@ -41,6 +42,19 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Most keys that without() broadcasts.
+FEW = 1 << 20
+
+
+def without(docs: DataFrame, key: Column, losers: DataFrame) -> DataFrame:
+    """docs whose key is not in the only column of the stored table losers; null equals null.
+
+    Up to FEW keys are broadcast, so no document travels; more meet the documents in a shuffle.
+    """
+    few = losers.count() <= FEW
+    return docs.join(F.broadcast(losers) if few else losers, key.eqNullSafe(F.col(losers.columns[0])), "left_anti")
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """wanted, with underscores added until no column has that name, in any case."""
     taken = {c.lower() for c in columns}

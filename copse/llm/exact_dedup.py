@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copse.llm.common import LOWER_TABLE, discard, free_name, materialise, read, ship
+from copse.llm.common import LOWER_TABLE, discard, free_name, materialise, read, ship, without
 
 #: Counters of one Misra-Gries summary; also the most rows that are ever broadcast.
 COUNTERS = 2048
@@ -99,9 +99,16 @@ def digest_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = COUNTERS) -> DataFrame:
-    """The documents that stay, with the columns they came with. Only losers are joined against, so no frequent text is shuffled."""
+    """The documents that stay, with the columns they came with.
+
+    Where doc_ids are unique, they tell which rows go, and nothing else of a document is read again or joined. Where some
+    repeat, digests tell rows apart, and only losers are joined against, so no frequent text is shuffled.
+    """
     digests = digest_table(docs, doc_id, text)
     decided = materialise(decide(digests, k), "dedup-decided")
+    if digests.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        losers = materialise(decided.filter(~F.col("kept")).select(F.col("doc_id").alias(free_name(docs.columns, "l_id"))), "dedup-losers")
+        return without(docs, docs[doc_id], losers)
     name = free_name(docs.columns, "digest")
     full = with_digest(docs, text, name)
     heavy = decided.filter(~F.col("kept")).groupBy("digest").agg(F.count("*").alias("n"), F.max("keep_id").alias("keep")).orderBy(F.desc("n"), "digest").limit(k)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copse.llm.common import LOWER_TABLE, discard, free_name, materialise, read, ship
+from copse.llm.common import LOWER_TABLE, discard, free_name, materialise, read, ship, without
 
 RADIUS = 4
 SHINGLE = 4
@@ -500,8 +500,8 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8, rad
     assigned = materialise(assign(prints, radius if similarity is None else radius_of(similarity), similarity), "simhash-assigned")
     keep = F.col("doc_id").eqNullSafe(F.col("component_id"))
     if prints.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        losers = assigned.filter(~keep).select(F.col("doc_id").alias("l_id"))
-        return docs.join(losers, docs[doc_id].cast("long").eqNullSafe(F.col("l_id")), "left_anti")
+        losers = materialise(assigned.filter(~keep).select(F.col("doc_id").alias(free_name(docs.columns, "l_id"))), "simhash-losers")
+        return without(docs, docs[doc_id].cast("long"), losers)
     # doc_ids repeat: fingerprints tell their rows apart
     fps = names(words)
     called, key = [free_name(docs.columns, f) for f in fps], free_name(docs.columns, "id")
