@@ -69,12 +69,14 @@ def repeated_words(words: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    n = F.size(words_of(line))
-    separators = F.regexp_count(line, F.lit(SEPARATORS))
-    punctuation = (n < MIN_LINE_WORDS) & ~line.rlike(ENDS)
-    navigation = (separators >= MIN_SEPARATORS) & (2 * separators >= n - separators)
-    boilerplate = (n <= MAX_BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
-    return (n > 0) & (punctuation | navigation | boilerplate)
+    def fails(x: Column) -> Column:
+        n, separators = x["n"], x["separators"]
+        punctuation = (n < MIN_LINE_WORDS) & ~line.rlike(ENDS)
+        navigation = (separators >= MIN_SEPARATORS) & (2 * separators >= n - separators)
+        boilerplate = (n <= MAX_BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
+        return (n > 0) & (punctuation | navigation | boilerplate)
+
+    return bound(F.struct(F.size(words_of(line)).alias("n"), F.regexp_count(line, F.lit(SEPARATORS)).alias("separators")), fails)
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
