@@ -10,13 +10,13 @@ of that many blocks is a key.
 dedup() is for pairs of a similarity, the Jaccard similarity of the sets of five-word shingles. One of 0.8 is too far for a
 radius of 4 in 64 bits, so fingerprints have WORDS times 64 bits, from independent mixes of each shingle's hash. Two texts
 of similarity j differ in a share acos(2 j / (1 + j)) / pi of the bits, and the radius is that of the wanted similarity and
-MARGIN standard deviations more. Keys are slices of bits_of(n) bits, so many that such a pair shares one with a
+MARGIN standard deviations more; in the first EARLY bits, early_radius() holds as well. Keys are slices of bits_of(n) bits, so many that such a pair shares one with a
 probability of FOUND; for n times as many documents it takes about n ** 0.24 times as many. Texts of lesser similarity
 link the more seldom the farther they are from it, unlike texts never do, and the README has measured shares.
 
 Equal fingerprints are one node, however many documents share it. Nodes are put into buckets by keys. Inside a task the
-buckets' fingerprints are stored as bit planes. One pass over the planes compares every fingerprint with the one `shift`
-places further on, or some pivots with all others: differing bits are added up in carry-save counters, for 64 lanes a
+buckets' fingerprints are stored as bit planes. One pass over the planes compares every fingerprint of 64 buckets with the
+one `shift` places further on in its bucket, or some pivots of a large bucket with all others: differing bits are added up in carry-save counters, for 64 lanes a
 machine word; a block of lanes is abandoned once all its distances exceed the radius. Large buckets are thinned: what lies
 within the radius of a pivot joins its component and is compared as a pivot only. Buckets of more than TILE nodes are cut
 into tiles, and pairs of tiles are separate tasks. A task gives back a forest of links, not all pairs; components follow by
@@ -34,11 +34,12 @@ import math
 import random
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,7 +55,9 @@ MARGIN = 1.8
 #: Share of the pairs of just the wanted similarity that have a key in common.
 FOUND = 0.97
 #: Least bits of a slice, and expected nodes in a bucket of evenly spread fingerprints from which on slices are longer.
-SLICE, SLICED = 10, 1024
+SLICE, SLICED = 10, 512
+#: Bits after which unlike fingerprints of several words are first told apart, and the standard deviations that a pair within the radius is given.
+EARLY, EARLY_MARGIN = 128, 5
 #: Nodes of a bucket that one task compares with one another; beyond, pairs of tiles are compared.
 TILE = 1 << 14
 #: Words in a block that is abandoned as a whole; each has 64 lanes.
@@ -74,6 +77,15 @@ def mixed(hashes: np.ndarray, words: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def sequences(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n words in a row, from the words' hashes; of all words if they are fewer."""
+    n = min(n, len(words))
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for i in range(n):
+        out = out * np.uint64(0x9FB21C651E98DF25) + words[i : i + len(out)]
+    return out
+
+
 def bit_counts(rows: np.ndarray) -> np.ndarray:
     """How many rows (rows, words) have each bit: a byte a bit, eight of them added at a time."""
     bits = np.unpackbits(np.ascontiguousarray(rows.astype("<u8")).view(np.uint8), axis=1, bitorder="little").view(np.uint64)
@@ -91,17 +103,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, words: int = 0) -> list[int
     size = words or 1
     if not found:
         return [0] * size
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(found) > shingle:
-        starts, ends = starts[: len(found) - shingle + 1], ends[shingle - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
     if words:
-        hashes = np.unique(hashes)
+        hashes = np.unique(sequences(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)), shingle))
+    else:
+        joined = b" ".join(found)
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        if len(found) > shingle:
+            starts, ends = starts[: len(found) - shingle + 1], ends[shingle - 1 :]
+        else:
+            starts, ends = starts[:1], ends[-1:]
+        h = xxhash.xxh64_intdigest
+        hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
     counts = np.zeros(64 * size, np.int64)
     for at in range(0, len(hashes), 16 * _BYTE):
         part = hashes[at : at + 16 * _BYTE]
@@ -179,27 +192,23 @@ def _add(one: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.
     return one ^ x, (a & b) | (one & x)
 
 
-def within(left: np.ndarray, right: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Lanes (a bit each) in which planes left and right differ in radius places at most.
+def differences(left: np.ndarray, right: np.ndarray):
+    """For within(): eight planes of the differing bits of left and right from a place on, of some words of lanes or all."""
+    return lambda at, i: left[at : at + 8] ^ right[at : at + 8] if i is None else left[at : at + 8, i] ^ right[at : at + 8, i]
+
 
-    left: planes like right's, or one word a plane. Eight planes at a time go through carry-save adders into counters of
-    radius.bit_length() bits at least; a count beyond them sticks. Now and then, blocks whose lanes all exceed the radius
-    (or count for nothing in lanes) are abandoned.
+def within(differ, lanes: np.ndarray, total: int, radius: int = RADIUS, early: int | None = None) -> np.ndarray:
+    """Lanes (a bit each) in which the differing bits of `total` planes are radius at most, and early at most in the first EARLY.
+
+    Eight planes at a time go through carry-save adders into counters of radius.bit_length() bits at least; a count beyond
+    them sticks. Now and then, blocks whose lanes all exceed the radius (or count for nothing in lanes) are abandoned.
     """
-    words, total = lanes.shape[-1], len(right)
-    pad = -words % BLOCK_WORDS
-    each = total // 8 if total > 64 else 8  # planes between two looks at the counters
-
-    def blocks(x: np.ndarray) -> np.ndarray:
-        return (np.pad(x, [(0, 0)] * (x.ndim - 1) + [(0, pad)]) if pad else x).reshape(*x.shape[:-1], -1, BLOCK_WORDS)
-
-    alive, out = np.arange((words + pad) // BLOCK_WORDS), np.zeros(words + pad, np.uint64).reshape(-1, BLOCK_WORDS)
-    same = left.shape[-1] == 1
-    left, right, open_ = left[:, :, None] if same else blocks(left), blocks(right), blocks(lanes)
-    counter = [np.zeros_like(open_) for _ in range(max(3, radius.bit_length()))]
-    over = np.zeros_like(open_)
+    each = 64 if total > 64 else 8  # planes between two looks at the counters
+    alive, open_, out = None, lanes, np.zeros_like(lanes)
+    counter = [np.zeros_like(lanes) for _ in range(max(3, radius.bit_length()))]
+    over = np.zeros_like(lanes)
     for at in range(0, total, 8):
-        x = left[at : at + 8] ^ right[at : at + 8]
+        x = differ(at, alive)
         fours = []
         for half in (0, 4):
             counter[0], a = _add(counter[0], x[half], x[half + 1])
@@ -210,15 +219,21 @@ def within(left: np.ndarray, right: np.ndarray, lanes: np.ndarray, radius: int =
         for k in range(3, len(counter)):
             counter[k], carry = counter[k] ^ carry, counter[k] & carry
         over |= carry
-        if (at + 8) % each == 0 and at + 8 < total:
-            busy = (open_ & ~(over | exceeding(counter, radius))).any(1)
-            if not busy.all():
-                if not busy.any():
-                    return out.reshape(-1)[:words]
-                alive, open_, over, right, counter = alive[busy], open_[busy], over[busy], right[:, busy], [c[busy] for c in counter]
-                left = left if same else left[:, busy]
-    out[alive] = open_ & ~(over | exceeding(counter, radius))
-    return out.reshape(-1)[:words]
+        done = at + 8
+        if early is not None and done == EARLY:
+            open_ = open_ & ~(over | exceeding(counter, early))
+        elif done % each or done <= radius or done == total:
+            continue
+        busy = open_ & ~(over | exceeding(counter, radius))
+        blocks = np.pad(busy, (0, -len(busy) % BLOCK_WORDS)).reshape(-1, BLOCK_WORDS).any(1)
+        if not blocks.all():
+            stay = np.flatnonzero(np.repeat(blocks, BLOCK_WORDS)[: len(busy)])
+            if not len(stay):
+                return out
+            alive = stay if alive is None else alive[stay]
+            open_, over, counter = open_[stay], over[stay], [c[stay] for c in counter]
+    out[slice(None) if alive is None else alive] = open_ & ~(over | exceeding(counter, radius))
+    return out
 
 
 def exceeding(counter: list[np.ndarray], radius: int) -> np.ndarray:
@@ -234,40 +249,45 @@ def exceeding(counter: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def lanes_of(mask: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little"))
-
-
-def shifted(p: np.ndarray, shift: int, words: int) -> np.ndarray:
-    """Planes moved down by shift lanes."""
-    q, r = divmod(shift, 64)
-    low = p[:, q : q + words]
-    low = np.pad(low, ((0, 0), (0, words - low.shape[1])))
-    if not r:
-        return low
-    high = p[:, q + 1 : q + 1 + words]
-    high = np.pad(high, ((0, 0), (0, words - high.shape[1])))
-    return (low >> np.uint64(r)) | (high << np.uint64(64 - r))
-
-
-def link_small(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, forest: Forest, radius: int = RADIUS) -> None:
-    """Joins what lies within the radius inside each bucket. Buckets lie one after the other, the largest first."""
-    after = np.repeat(starts + sizes, sizes) - 1 - np.arange(len(fps))  # rows of the same bucket that follow
-    p, falling = planes(fps), -np.repeat(sizes, sizes)
-    for shift in range(1, int(sizes.max(initial=1))):
-        reach = int(np.searchsorted(falling, -shift))  # rows in buckets of more than shift rows come first
-        words = -(-reach // 64)
-        ok = np.zeros(words * 64, np.uint8)
-        ok[:reach] = after[:reach] >= shift
-        lanes = np.packbits(ok, bitorder="little").view("<u8")
-        for i in lanes_of(within(p[:, :words], shifted(p, shift, words), lanes, radius)).tolist():
-            forest.join(i, i + shift)
+    words = np.flatnonzero(mask)
+    found = np.flatnonzero(np.unpackbits(mask[words].view(np.uint8), bitorder="little"))
+    return words[found >> 6] * 64 + (found & 63)
+
+
+def packed(lanes: np.ndarray) -> np.ndarray:
+    return np.packbits(lanes, bitorder="little").view("<u8")
+
+
+def link_small(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, forest: Forest, radius: int = RADIUS, early: int | None = None) -> None:
+    """Joins what lies within the radius inside each bucket. Buckets lie one after the other, the largest first.
+
+    A bucket is one lane: 64 buckets of about one size lie side by side, and the n-th rows of all of them are one word. So
+    the rows `shift` further on are the words `shift` further on, and planes are compared where they lie.
+    """
+    group = np.arange(len(sizes)) // 64
+    high = sizes[::64]  # words of each group of lanes
+    first = np.cumsum(high) - high
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(fps)) - starts[bucket]
+    slot = (first[group[bucket]] + place) * 64 + bucket % 64
+    words = int(high.sum())
+    row, after = np.zeros(words * 64, np.int64), np.full(words * 64, -1)
+    row[slot], after[slot] = np.arange(len(fps)), sizes[bucket] - 1 - place
+    spread = np.zeros((words * 64, fps.shape[1]), np.uint64)
+    spread[slot] = fps
+    p = planes(spread)
+    for shift in range(1, int(high[0]) if len(high) else 0):
+        n = int(high[: int(np.searchsorted(-high, -shift))].sum()) - shift  # words that groups of more than shift rows have
+        lanes = packed(after[: n * 64] >= shift)
+        for i in lanes_of(within(differences(p[:, :n], p[:, shift : n + shift]), lanes, len(p), radius, early)).tolist():
+            forest.join(int(row[i]), int(row[i + 64 * shift]))
 
 
 #: Pivots that are compared with a large bucket at a time.
-PIVOTS = 32
+PIVOTS = 128
 
 
-def link_large(fps: np.ndarray, first: int, forest: Forest, radius: int = RADIUS) -> None:
+def link_large(fps: np.ndarray, first: int, forest: Forest, radius: int = RADIUS, early: int | None = None) -> None:
     """The same for one large bucket, whose row 0 is the forest's member first.
 
     Pivots are compared with all open rows at once, side by side in the lanes. What lies within the radius of one closes,
@@ -291,11 +311,16 @@ def link_large(fps: np.ndarray, first: int, forest: Forest, radius: int = RADIUS
         pivots += rows[seeds].tolist()
         seen += len(pivots)
         bits = np.unpackbits(np.ascontiguousarray(fps[pivots].astype("<u8")).view(np.uint8), axis=1, bitorder="little").T
-        left = np.repeat(np.where(bits == 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)), p.shape[1], axis=1)
-        ok = np.zeros(p.shape[1] * 64, np.uint8)
+        left, words = np.where(bits == 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)), p.shape[1]
+
+        def differ(at: int, i: np.ndarray | None, left=left, p=p, words=words) -> np.ndarray:
+            if i is None:
+                return (left[at : at + 8, :, None] ^ p[at : at + 8, None, :]).reshape(8, -1)
+            return left[at : at + 8, i // words] ^ p[at : at + 8, i % words]
+
+        ok = np.zeros(words * 64, np.uint8)
         ok[: len(rows)] = held
-        lanes = np.tile(np.packbits(ok, bitorder="little").view("<u8"), len(pivots))
-        mask = within(left, np.tile(p, (1, len(pivots))), lanes, radius)
+        mask = within(differ, np.tile(packed(ok), len(pivots)), len(p), radius, early)
         near = np.unpackbits(mask.view(np.uint8), bitorder="little").reshape(len(pivots), -1)[:, : len(rows)]
         hit = np.flatnonzero(near.any(0))
         if not len(hit):
@@ -312,23 +337,23 @@ def link_large(fps: np.ndarray, first: int, forest: Forest, radius: int = RADIUS
 
 
 #: Buckets of more nodes are searched one by one.
-SMALL = 2048
+SMALL = 1024
 #: Nodes whose planes are held at a time.
-HELD = 1 << 16
+HELD = 1 << 17
 
 
-def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, early: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links inside buckets of fingerprints (rows, words) that lie one after the other: the places (root, member) of each row that is no root."""
     starts = np.cumsum(sizes) - sizes
     forest = Forest(len(fps))
     for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        link_large(fps[a : a + n], a, forest, radius)
+        link_large(fps[a : a + n], a, forest, radius, early)
     order = np.argsort(-sizes, kind="stable")
     order = order[(sizes[order] <= SMALL) & (sizes[order] > 1)]
     if len(order):
         at = np.concatenate([np.arange(a, a + n) for a, n in zip(starts[order].tolist(), sizes[order].tolist(), strict=True)])
         inner = Forest(len(at))
-        link_small(fps[at], np.cumsum(sizes[order]) - sizes[order], sizes[order], inner, radius)
+        link_small(fps[at], np.cumsum(sizes[order]) - sizes[order], sizes[order], inner, radius, early)
         roots = inner.roots()
         for i in np.flatnonzero(roots != np.arange(len(at))).tolist():
             forest.join(int(at[roots[i]]), int(at[i]))
@@ -337,7 +362,7 @@ def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.
     return roots[moved], moved
 
 
-def _links(radius: int):
+def _links(radius: int, early: int | None):
     """Over batches (c, k, pair, id, f0, ...) in the order of the first three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +370,7 @@ def _links(radius: int):
 
         def done(keys: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
             fps = np.stack(keys[4:], axis=1).view(np.uint64)
-            a, b = links(fps, np.diff(np.concatenate([[0], cut, [len(fps)]])), radius)
+            a, b = links(fps, np.diff(np.concatenate([[0], cut, [len(fps)]])), radius, early)
             return pa.RecordBatch.from_arrays([pa.array(keys[3][a]), pa.array(keys[3][b])], ["a", "b"])
 
         def joined(held: list[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -392,18 +417,33 @@ def radius_of(similarity: float, words: int = WORDS) -> int:
     return int(n * p + MARGIN * math.sqrt(n * p * (1 - p)))
 
 
+def early_radius(radius: int, words: int = WORDS) -> int:
+    """Distance in the first EARLY bits beyond which a pair doesn't link; one at the radius goes beyond in less than one of a million cases."""
+    p = radius / (64 * words)
+    return int(EARLY * p + EARLY_MARGIN * math.sqrt(EARLY * p * (1 - p)))
+
+
 def bits_of(n: int) -> int:
     return max(SLICE, math.ceil(math.log2(max(1, n / SLICED))))
 
 
-def slices(n: int, similarity: float, words: int = WORDS) -> list[tuple[int, int]]:
-    """(word, mask) of the keys for n fingerprints: slices of bits that don't overlap while there are any, then random ones."""
+def slices(n: int, similarity: float, words: int = WORDS) -> list[list[tuple[int, int]]]:
+    """The keys for n fingerprints: slices of bits that don't overlap while there are any, then random bits of all words.
+
+    A key is a list of (word, mask), whose masks have no bit in common.
+    """
     bits = bits_of(n)
     count = math.ceil(math.log(1 - FOUND) / math.log(1 - (1 - differing(similarity)) ** bits))
     rng, out = random.Random(bits), []
     for i in range(count):
         at, word = divmod(i, words)
-        out.append((word, ((1 << bits) - 1) << (at * bits) if (at + 1) * bits <= 64 else sum(1 << b for b in rng.sample(range(64), bits))))
+        if (at + 1) * bits <= 64:
+            out.append([(word, ((1 << bits) - 1) << (at * bits))])
+            continue
+        masks = [0] * words
+        for b in rng.sample(range(64), bits):
+            masks[rng.randrange(words)] |= 1 << b
+        out.append([(w, m) for w, m in enumerate(masks) if m])
     return out
 
 
@@ -418,8 +458,9 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, similarity: float | None
     """
     ship(nodes.sparkSession)
     fps, n = [c for c in nodes.columns if c != "id"], nodes.count()
-    masks = [(0, m) for m in key_masks(n, radius)] if similarity is None else slices(n, similarity, len(fps))
-    keys = [F.struct(F.lit(i).alias("c"), F.col(fps[w]).bitwiseAND(F.lit(signed(m))).alias("k")) for i, (w, m) in enumerate(masks)]
+    masks = [[(0, m)] for m in key_masks(n, radius)] if similarity is None else slices(n, similarity, len(fps))
+    bits = lambda key: reduce(Column.bitwiseOR, (F.col(fps[w]).bitwiseAND(F.lit(signed(m))) for w, m in key))
+    keys = [F.struct(F.lit(i).alias("c"), bits(key).alias("k")) for i, key in enumerate(masks)]
     dealt = nodes.select("id", *fps, F.explode(F.array(*keys)).alias("key")).select("key.c", "key.k", "id", *fps)
     hot = materialise(dealt.groupBy("c", "k").count().filter(F.col("count") > TILE).select(F.col("c").alias("hc"), F.col("k").alias("hk"), F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "simhash-hot")
     pair = F.lit(0).cast("long")
@@ -431,7 +472,7 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, similarity: float | None
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1)))
         dealt = dealt.withColumn("pair", F.when(F.col("tiles").isNull(), pair).otherwise(F.least(mine, other) * 2**31 + F.greatest(mine, other)))
     sorted_ = dealt.select("c", "k", "pair", "id", *fps).repartition("c", "k", "pair").sortWithinPartitions("c", "k", "pair")
-    return sorted_.mapInArrow(_links(radius), "a long, b long")
+    return sorted_.mapInArrow(_links(radius, None if similarity is None else early_radius(radius, len(fps))), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -143,9 +143,9 @@ def test_distances_by_brute_force(words):
     ok = np.zeros(p.shape[1] * 64, np.uint8)
     ok[:700] = rng.random(700) < 0.8
     bits = np.unpackbits(fps[:1].astype("<u8").view(np.uint8), bitorder="little")
-    one = np.where(bits == 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None]
+    one = np.where(bits == 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None].repeat(p.shape[1], 1)
     for radius in (0, 1, 4, 7, 8, 15, 16, 31, 64, 92):
-        got = simhash.lanes_of(simhash.within(one, p, np.packbits(ok, bitorder="little").view("<u8"), radius))
+        got = simhash.lanes_of(simhash.within(simhash.differences(one, p), simhash.packed(ok), 64 * words, radius))
         assert got.tolist() == np.flatnonzero((far <= radius) & (ok[:700] == 1)).tolist()
 
 
@@ -159,12 +159,14 @@ def test_wide_links_are_the_components(sizes):
             fps[i] = fps[i - 1]
             for b in rng.permutation(64 * simhash.WORDS)[: rng.integers(radius - 60, radius + 30)]:
                 fps[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    roots, members = simhash.links(fps, np.array(sizes), radius)
+    early = simhash.early_radius(radius)
+    roots, members = simhash.links(fps, np.array(sizes), radius, early)
     got = np.arange(len(fps))
     got[members] = roots
     at = 0
     for n in sizes:
-        near = np.stack([np.bitwise_count(fps[at + i] ^ fps[at : at + n]).sum(1) <= radius for i in range(n)])
+        far = [np.bitwise_count(fps[at + i] ^ fps[at : at + n]) for i in range(n)]
+        near = np.stack([(d.sum(1) <= radius) & (d[:, :2].sum(1) <= early) for d in far])
         label = np.arange(n)
         while True:
             new = np.where(near, label[None], n).min(1)
@@ -192,14 +194,16 @@ def test_near_copies_go_and_others_stay(spark):
     assert len(kept - set(range(120))) <= 6
 
 
-def wide_components(prints: list[list[int]], keys: list[tuple[int, int]], radius: int) -> list[int]:
-    """The rule by all pairs: a key in common, and the radius."""
-    label = list(range(len(prints)))
+def wide_components(prints: list[list[int]], keys: list[list[tuple[int, int]]], radius: int) -> list[int]:
+    """The rule by all pairs: a key in common, and the radius, also in the first bits."""
+    label, early = list(range(len(prints))), simhash.early_radius(radius)
     pairs = [
         (i, j)
         for i, a in enumerate(prints)
         for j, b in enumerate(prints[:i])
-        if sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= radius and any(not (a[w] ^ b[w]) & m for w, m in keys)
+        if sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= radius
+        and sum((x ^ y).bit_count() for x, y in zip(a[:2], b[:2], strict=True)) <= early
+        and any(all(not (a[w] ^ b[w]) & m for w, m in key) for key in keys)
     ]
     while True:
         before = list(label)
@@ -254,7 +258,7 @@ def test_recall_and_precision_by_similarity(n):
             if 0.8 <= j < 0.83 or 0.58 <= j < 0.61:
                 x, y = (simhash.fingerprint(" ".join(w).encode(), 5, simhash.WORDS) for w in (words, copy))
                 near = sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True)) <= radius
-                found[8 if j >= 0.8 else 6].append(near and any(not (x[w] ^ y[w]) & m for w, m in keys))
+                found[8 if j >= 0.8 else 6].append(near and any(all(not (x[w] ^ y[w]) & m for w, m in key) for key in keys))
     assert sum(found[8]) >= 0.9 * len(found[8]) > 50
     assert sum(found[6]) <= 0.05 * len(found[6])
 
