@@ -3,7 +3,7 @@
 A word's tokens are proposed by greedy longest match over the vocabulary. A sequence of tokens is what the merges
 yield exactly when every adjacent pair is: replaying the merges, no merge ever joins a part of the left token with a
 part of the right one. That test runs in numpy over all adjacent pairs of all new words at once; only words with a
-failing pair are merged exactly. Proposals, tests and results are kept per word.
+failing pair are merged exactly, side by side, a merge a word at a time. Proposals, tests and results are kept per word.
 
 Normalisation and splitting follow the tokenizer file: NFC, white space to blanks, lower case, split into
 contractions, letters, single digits and other marks, then bytes as printable characters. Texts of plain Latin-1
@@ -40,6 +40,8 @@ _NO_MERGE = int(np.iinfo(np.int64).max)
 _NONE = (_NO_MERGE, -1)
 #: Symbols from which on merging uses a heap.
 LONG_WORD = 400
+#: Symbols of words that are merged side by side.
+MERGED = 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -78,6 +80,11 @@ class WordBPE:
         keys = np.array([x * n + y for x, y in self.rank], np.int64)
         order = np.argsort(keys)
         self.keys, self.key_rank, self.n = keys[order], np.array([r for r, _ in self.rank.values()], np.int64)[order], n
+        self.yields = np.zeros(max((r for r, _ in self.rank.values()), default=0) + 1, np.int64)
+        for r, made in self.rank.values():
+            self.yields[r] = made
+        #: Ids of base symbols by character, inside a word and at its end; -1: not in the vocabulary.
+        self.inner, self.final = (np.array([self.vocab.get(chr(c) + e, -1) for c in range(512)], np.int64) for e in ("", self.end))
         # How the merges build each token: its last merge and the two parts. -1: a base token, or one that merges never yield.
         self.made, self.left, self.right = (np.full(n, -1, np.int64) for _ in range(3))
         whole: dict[int, bool] = {}
@@ -153,6 +160,51 @@ class WordBPE:
                     heapq.heappush(heap, (self.rank[p][0], k, *p))
         return [x for x in ids if x >= 0]
 
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the merges of pairs of tokens; _NO_MERGE where there is none."""
+        key = a * self.n + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.key_rank[at], _NO_MERGE)
+
+    def merge_many(self, words: list[str]) -> list[np.ndarray]:
+        """merge() for many words of mapped bytes: all of their symbols in one array, and one merge in each word at a time."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        last = np.cumsum(lengths) - 1
+        ids, of = self.inner[codes], np.repeat(np.arange(len(words)), lengths)
+        ids[last] = self.final[codes[last]]
+        ids, of = ids[ids >= 0], of[ids >= 0]
+        rank = np.full(len(ids), _NO_MERGE)  # of each symbol with the next one in its word
+        inside = np.flatnonzero(of[1:] == of[:-1])
+        rank[inside] = self.ranks(ids[inside], ids[inside + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            starts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1])
+            least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(ids))))
+            over = least == _NO_MERGE
+            if over.any():
+                done.append((of[over], ids[over]))
+                ids, of, rank, least = ids[~over], of[~over], rank[~over], least[~over]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(rank == least)
+            at = hit[np.concatenate([[True], of[hit[1:]] != of[hit[:-1]]])]  # the leftmost one of each word
+            ids[at] = self.yields[rank[at]]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, of, rank = ids[stay], of[stay], rank[stay]
+            at = at - np.arange(len(at))
+            new = np.concatenate([at, at[at > 0] - 1])
+            new = new[new + 1 < len(ids)]
+            joined = of[new] == of[new + 1]
+            rank[at] = _NO_MERGE
+            rank[new[joined]] = self.ranks(ids[new[joined]], ids[new[joined] + 1])
+        if not done:
+            return [np.zeros(0, self.kind)] * len(words)
+        of, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(of, kind="stable")
+        return np.split(ids[order].astype(self.kind), np.searchsorted(of[order], np.arange(1, len(words))))
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the merges leave a boundary between tokens a and b, for arrays of pairs.
 
@@ -165,9 +217,7 @@ class WordBPE:
         good, live = np.ones(len(a), bool), np.arange(len(a))
         while len(live):
             x, y = a[live], b[live]
-            key = x * self.n + y
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == key, self.key_rank[at], _NO_MERGE)
+            rank = self.ranks(x, y)
             crossed = (rank < until_a[live]) & (rank <= until_b[live]) & (rank != _NO_MERGE)
             good[live[crossed]] = False
             ma, mb = self.made[x], self.made[y]
@@ -194,15 +244,28 @@ class WordBPE:
         fits = self.compatible(pairs // self.n, pairs % self.n)[which]
         good[of[beside[~fits]]] = False
         starts, packed, size = np.searchsorted(of, np.arange(len(words) + 1)).tolist(), ids.astype(self.kind).tobytes(), self.kind.itemsize
-        out = []
-        for i, (w, ok) in enumerate(zip(words, good.tolist(), strict=True)):
-            if ok:
-                out.append(packed[size * starts[i] : size * starts[i + 1]])
-            else:
-                self.exact_merges += 1
-                out.append(np.array(self.merge([*w[:-1], w[-1] + self.end]), self.kind).tobytes())
+        failing = [i for i, ok in enumerate(good.tolist()) if not ok]
+        self.exact_merges += len(failing)
+        out = [packed[size * a : size * b] for a, b in zip(starts, starts[1:], strict=False)]
+        portion: list[int] = []
+        symbols = 0
+        for i in failing:
+            w = words[i]
+            if len(w) > LONG_WORD:
+                out[i] = np.array(self.merge([*w[:-1], w[-1] + self.end]), self.kind).tobytes()
+                continue
+            portion.append(i)
+            symbols += len(w)
+            if symbols > MERGED:
+                self._settle(words, portion, out)
+                portion, symbols = [], 0
+        self._settle(words, portion, out)
         return out
 
+    def _settle(self, words: list[str], portion: list[int], out: list[bytes]) -> None:
+        for i, merged in zip(portion, self.merge_many([words[i] for i in portion]) if portion else [], strict=True):
+            out[i] = merged.tobytes()
+
     def mapped(self, word: str) -> str:
         if word.isascii():
             return word

@@ -42,6 +42,19 @@ def test_proposals_are_verified_not_trusted():
     assert 0 < model.exact_merges < len(words)
 
 
+def test_merging_side_by_side(monkeypatch):
+    """Words of all lengths and bytes, repeated letters, symbols that no vocabulary has, in portions of any size."""
+    model, rng = bpe.word_bpe(WORD), random.Random(3)
+    words = ["".join(rng.choice(marks) for _ in range(rng.randint(1, n))) for marks, n in (("etaoinshr", 14), ("aab", 60), (model.alphabet, 8), ("th", 399), ("x", 30)) for _ in range(300)]
+    words += ["Ŀſ", "aĿb", "a"]  # the first has characters that stand for no byte
+    exact = [model.merge([*w[:-1], w[-1] + model.end]) for w in words]
+    assert [m.tolist() for m in model.merge_many(words)] == exact
+    packed = [np.array(x, model.kind).tobytes() for x in exact[:-3]]
+    assert model.learn(words[:-3]) == packed
+    monkeypatch.setattr(bpe, "MERGED", 100)
+    assert model.learn(words[:-3]) == packed
+
+
 def test_new_generations_of_the_cache(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 60)
     model, library = bpe.WordBPE(WORD), Tokenizer.from_file(WORD)
