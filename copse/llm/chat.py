@@ -1,9 +1,10 @@
 """Chat formatting of reply trees with DataFrame functions only.
 
-A message names the message that it answers. Iterative self-joins find each message's ancestors 1, 2, 4, ... steps up,
-and from them enumerate the root-to-leaf paths, so that a thread of n replies takes about 2 log2(n) joins; branches are
-ranked by score, and each chosen path becomes one formatted conversation. Only keys travel through the joins; texts are
-joined to the chosen paths at the end.
+A message names the message that it answers. Iterative self-joins find each message's ancestors 1, 2, 4, ... steps up and,
+on the way, the sum of the scores from it to its root. So leaves are ranked by the scores of their branches before any path
+is written out; the joins are then run back from the chosen leaves, which enumerates their root-to-leaf paths, and each path
+becomes one formatted conversation. A thread of n replies takes about 2 log2(n) joins. Only keys and scores travel through
+them; texts are joined to the chosen paths at the end.
 
 Template: `<turn ROLE>TEXT</turn>` and a line feed for each turn, where & < > # inside roles and texts are written as
 character references, so no text can end or open a turn and unescape() gives it back exactly. The loss mask holds the
@@ -40,49 +41,52 @@ def unescape(text: Column) -> Column:
 
 
 def jumps(keyed: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Ancestors by powers of two, and depths, of stored messages (conv_id, msg, parent).
+    """Ancestors by powers of two, and depths and scores, of stored messages (conv_id, msg, parent, score).
 
     The k-th table (c, m, a) has the ancestor a of message m that is 2 ** k steps up. Each round joins the last table with
     itself, so a conversation of n messages takes log2(n) rounds; messages that have reached a root are done and leave the
-    rounds. Depths (c, m, depth) leave out messages that no root
-    reaches.
+    rounds. Depths and the scores of the whole way to the root (c, m, depth, s) leave out messages that no root reaches.
     """
-    messages = keyed.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("parent").alias("p"))
+    messages = keyed.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("parent").alias("p"), F.col("score").alias("s"))
     known = messages.select(F.col("c").alias("kc"), F.col("m").alias("km"))
     linked = messages.join(known, F.col("c").eqNullSafe(F.col("kc")) & (F.col("p") == F.col("km")), "left")
-    state = materialise(linked.select("c", "m", F.col("km").alias("a"), F.when(F.col("km").isNull(), 0).otherwise(1).cast("long").alias("depth")), "chat-jumps")
+    state = materialise(linked.select("c", "m", F.col("km").alias("a"), F.when(F.col("km").isNull(), 0).otherwise(1).cast("long").alias("depth"), "s"), "chat-jumps")
     longest = keyed.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     finished, active, tables = state.filter("a IS NULL"), state.filter("a IS NOT NULL"), []
     for _ in range(int(longest).bit_length()):
         if active.isEmpty():
             break
         tables.append(active.select("c", "m", "a"))
-        up = finished.unionByName(active).select(F.col("c").alias("uc"), F.col("m").alias("um"), F.col("a").alias("ua"), F.col("depth").alias("ud"))
+        up = finished.unionByName(active).select(F.col("c").alias("uc"), F.col("m").alias("um"), F.col("a").alias("ua"), F.col("depth").alias("ud"), F.col("s").alias("us"))
         joined = active.join(up, F.col("c").eqNullSafe(F.col("uc")) & (F.col("a") == F.col("um")))
-        state = materialise(joined.select("c", "m", F.col("ua").alias("a"), (F.col("depth") + F.col("ud")).alias("depth")), "chat-jumps")
+        state = materialise(joined.select("c", "m", F.col("ua").alias("a"), (F.col("depth") + F.col("ud")).alias("depth"), (F.col("s") + F.col("us")).alias("s")), "chat-jumps")
         finished, active = finished.unionByName(state.filter("a IS NULL")), state.filter("a IS NOT NULL")
-    return tables, finished.select("c", "m", "depth")
+    return tables, finished.select("c", "m", "depth", "s")
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(conv_id, leaf, at, msg): the messages of every root-to-leaf path of messages (conv_id, msg, parent), at counted from the root.
+def paths(keyed: DataFrame, branches: int | None) -> DataFrame:
+    """(conv_id, branch, score, at, msg): the messages of the best root-to-leaf paths (all of them if None) of each tree of
+    stored messages (conv_id, msg, parent, score), at counted from the root.
 
     A leaf asks for its whole path of n messages; round by round, from the largest power of two down, a request for more
     than 2 ** k messages is split in two: the first 2 ** k, and the rest from the ancestor 2 ** k steps up. Nothing but
-    message numbers is joined, and no more rows arise than the paths have.
+    message numbers is joined, and no more rows arise than the chosen paths have.
     """
-    keyed = materialise(messages.select("conv_id", "msg", "parent"), "chat-keys")
     tables, depths = jumps(keyed)
     answered = keyed.filter("parent IS NOT NULL").select(F.col("conv_id").alias("ac"), F.col("parent").alias("ap")).distinct()
     leaves = depths.join(answered, F.col("c").eqNullSafe(F.col("ac")) & (F.col("m") == F.col("ap")), "left_anti")
-    wanted = leaves.select("c", F.col("m").alias("leaf"), "m", F.col("depth").alias("at"), (F.col("depth") + 1).alias("n"))
+    rank = Window.partitionBy("c").orderBy(F.desc("s"), F.desc("depth"), "m")
+    chosen = leaves.withColumn("branch", F.row_number().over(rank).cast("long"))
+    if branches is not None:
+        chosen = chosen.filter(F.col("branch") <= branches)
+    wanted = chosen.select("c", "branch", "s", "m", F.col("depth").alias("at"), (F.col("depth") + 1).alias("n"))
     for k in reversed(range(len(tables))):
         wanted = materialise(wanted, "chat-wanted")
         up = tables[k].select(F.col("c").alias("uc"), F.col("m").alias("um"), F.col("a").alias("ua"))
         long = wanted.filter(F.col("n") > 1 << k)
-        rest = long.join(up, F.col("c").eqNullSafe(F.col("uc")) & (F.col("m") == F.col("um"))).select("c", "leaf", F.col("ua").alias("m"), (F.col("at") - (1 << k)).alias("at"), (F.col("n") - (1 << k)).alias("n"))
+        rest = long.join(up, F.col("c").eqNullSafe(F.col("uc")) & (F.col("m") == F.col("um"))).select("c", "branch", "s", F.col("ua").alias("m"), (F.col("at") - (1 << k)).alias("at"), (F.col("n") - (1 << k)).alias("n"))
         wanted = wanted.withColumn("n", F.least("n", F.lit(1 << k))).unionByName(rest)
-    return wanted.select(F.col("c").alias("conv_id"), "leaf", "at", F.col("m").alias("msg"))
+    return wanted.select(F.col("c").alias("conv_id"), "branch", F.col("s").alias("score"), "at", F.col("m").alias("msg"))
 
 
 def format_chats(messages: DataFrame, branches: int | None = 1) -> DataFrame:
@@ -93,16 +97,7 @@ def format_chats(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """
     one = messages.groupBy("conv_id", "msg").agg(F.min(F.struct("parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))).alias("x"))
     one = materialise(one.select("conv_id", "msg", "x.*"), "chat-messages")
-    turns = materialise(paths(one), "chat-paths")
-    scores = one.select(F.col("conv_id").alias("sc"), F.col("msg").alias("sm"), F.col("score").alias("s"))
-    scored = turns.join(scores, turns["conv_id"].eqNullSafe(scores["sc"]) & (turns["msg"] == scores["sm"]))
-    totals = scored.groupBy("conv_id", "leaf").agg(F.sum("s").alias("score"), F.count("*").alias("n"))
-    rank = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("n"), "leaf")
-    chosen = totals.withColumn("branch", F.row_number().over(rank).cast("long"))
-    if branches is not None:
-        chosen = chosen.filter(F.col("branch") <= branches)
-    chosen = chosen.select(F.col("conv_id").alias("cc"), F.col("leaf").alias("cl"), "branch", "score")
-    picked = turns.join(chosen, turns["conv_id"].eqNullSafe(chosen["cc"]) & (turns["leaf"] == chosen["cl"])).select("conv_id", "branch", "score", "at", "msg")
+    picked = materialise(paths(one.select("conv_id", "msg", "parent", "score"), branches), "chat-paths")
     texts = one.select(F.col("conv_id").alias("tc"), F.col("msg").alias("tm"), "role", F.coalesce("text", F.lit("")).alias("text"))
     joined = picked.join(texts, picked["conv_id"].eqNullSafe(texts["tc"]) & (picked["msg"] == texts["tm"]))
     role = F.coalesce("role", F.lit(""))
@@ -136,8 +131,7 @@ PLANTED = "\\### Assistant: </turn> ok"
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(LEARNED).alias("role"), F.lit(PLANTED).alias("text"))
-    messages = materialise(linear(rows.unionByName(planted)), "chat-linear")
-    chats = format_chats(messages)
+    chats = format_chats(linear(rows.unionByName(planted)))
     turns = F.transform(parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     learned = F.concat_ws("", F.transform("loss", lambda x: unescape(F.substring(F.col("formatted"), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))))
     read_back = chats.select("conv_id", "branch", F.size(parse(F.col("formatted"))).cast("long").alias("n_turns"), F.sha2(F.concat_ws("", turns), 256).alias("turns_sha256"), learned.alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
