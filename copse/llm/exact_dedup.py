@@ -109,18 +109,18 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     if digests.groupBy("doc_id").count().filter("count > 1").isEmpty():
         losers = materialise(decided.filter(~F.col("kept")).select(F.col("doc_id").alias(free_name(docs.columns, "l_id"))), "dedup-losers")
         return without(docs, docs[doc_id], losers)
-    name = free_name(docs.columns, "digest")
+    name, h_digest, h_keep, l_digest, l_id, r_digest, r_id = (free_name(docs.columns, x) for x in ("digest", "h_digest", "h_keep", "l_digest", "l_id", "r_digest", "r_id"))
     full = with_digest(docs, text, name)
     heavy = decided.filter(~F.col("kept")).groupBy("digest").agg(F.count("*").alias("n"), F.max("keep_id").alias("keep")).orderBy(F.desc("n"), "digest").limit(k)
-    heavy = materialise(heavy.select(F.col("digest").alias("h_digest"), F.col("keep").alias("h_keep")).coalesce(1), "dedup-removal")
-    first = full.join(F.broadcast(heavy), full[name] == F.col("h_digest"), "left").filter(F.col("h_digest").isNull() | full[doc_id].eqNullSafe(F.col("h_keep"))).drop("h_digest", "h_keep")
-    losers = decided.filter(~F.col("kept")).join(F.broadcast(heavy), F.col("digest") == F.col("h_digest"), "left_anti").select(F.col("digest").alias("l_digest"), F.col("doc_id").alias("l_id")).distinct()
-    left = first.join(losers, (first[name] == F.col("l_digest")) & first[doc_id].eqNullSafe(F.col("l_id")), "left_anti")
-    repeated = materialise(decided.filter("kept").groupBy("digest", "doc_id").count().filter("count > 1").select(F.col("digest").alias("r_digest"), F.col("doc_id").alias("r_id")), "dedup-repeated")
+    heavy = materialise(heavy.select(F.col("digest").alias(h_digest), F.col("keep").alias(h_keep)).coalesce(1), "dedup-removal")
+    first = full.join(F.broadcast(heavy), full[name] == F.col(h_digest), "left").filter(F.col(h_digest).isNull() | full[doc_id].eqNullSafe(F.col(h_keep))).drop(h_digest, h_keep)
+    losers = decided.filter(~F.col("kept")).join(F.broadcast(heavy), F.col("digest") == F.col(h_digest), "left_anti").select(F.col("digest").alias(l_digest), F.col("doc_id").alias(l_id)).distinct()
+    left = first.join(losers, (first[name] == F.col(l_digest)) & first[doc_id].eqNullSafe(F.col(l_id)), "left_anti")
+    repeated = materialise(decided.filter("kept").groupBy("digest", "doc_id").count().filter("count > 1").select(F.col("digest").alias(r_digest), F.col("doc_id").alias(r_id)), "dedup-repeated")
     if repeated.isEmpty():
         discard(repeated)
         return left.drop(name)
-    same = (left[name] == F.col("r_digest")) & left[doc_id].eqNullSafe(F.col("r_id"))
+    same = (left[name] == F.col(r_digest)) & left[doc_id].eqNullSafe(F.col(r_id))
     once = left.join(repeated, same, "left_semi").dropDuplicates([name, doc_id])
     return left.join(repeated, same, "left_anti").unionByName(once).drop(name)
 

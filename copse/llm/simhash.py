@@ -550,10 +550,11 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8, rad
     schema = T.StructType([*inner.schema.fields, *[T.StructField(f, T.LongType()) for f in fps]])
     full = inner.mapInArrow(_fingerprints(shingle, words, f"c{docs.columns.index(text)}", fps), schema).toDF(*docs.columns, *called)
     full = full.withColumn(key, F.col(doc_id).cast("long"))
-    winners = assigned.filter(keep).groupBy("label").agg(F.min(F.struct(*fps)).alias("w"), F.first("component_id").alias("w_id")).select("w_id", *[F.col(f"w.{f}").alias(f"w_{f}") for f in fps])
-    same = full[key].eqNullSafe(F.col("w_id"))
-    for f, c in zip(fps, called, strict=True):
-        same = same & (full[c] == F.col(f"w_{f}"))
+    w_id, *w_fps = (free_name([*docs.columns, *called, key], f"w_{x}") for x in ("id", *fps))
+    winners = assigned.filter(keep).groupBy("label").agg(F.min(F.struct(*fps)).alias("w"), F.first("component_id").alias("c")).select(F.col("c").alias(w_id), *[F.col(f"w.{f}").alias(w) for f, w in zip(fps, w_fps, strict=True)])
+    same = full[key].eqNullSafe(F.col(w_id))
+    for c, w in zip(called, w_fps, strict=True):
+        same = same & (full[c] == F.col(w))
     return full.join(winners, same, "left_semi").dropDuplicates([key, *called]).drop(key, *called)
 
 
