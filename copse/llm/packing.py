@@ -35,6 +35,8 @@ LENGTH = 1024
 WINDOW_SEQUENCES = 16
 #: Tokens in a block, on average; a task holds one block at a time.
 BLOCK_TOKENS = 1 << 21
+#: Blocks whose running sums one task takes.
+CHUNK = 1 << 12
 #: Tokens of a document that stay together when it is dealt to blocks.
 SEGMENT = 1 << 16
 #: How byte-level BPE files of this kind split text.
@@ -210,6 +212,23 @@ def _pack(kind: str, length: int, window: int, with_ids: bool):
     return run
 
 
+def running(table: DataFrame, value: str, name: str, *keys: str) -> DataFrame:
+    """table with the sum of value over all lesser blocks that have the same keys, null being one of them.
+
+    Sums run over CHUNK blocks at a time, and over the chunks' totals, so no task has a row for every block.
+    """
+    chunk, base = f"_{name}_chunk", f"_{name}_base"
+    cut = table.withColumn(chunk, F.floor(F.col("block") / CHUNK))
+    before = lambda column, order, *by: F.coalesce(F.sum(column).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    totals = cut.groupBy(*keys, chunk).agg(F.sum(value).alias(base))
+    totals = totals.select(F.col(chunk).alias("_at"), *[F.col(k).alias(f"_of_{k}") for k in keys], before(base, chunk, *keys).alias(base))
+    same = F.col(chunk) == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    inside = cut.withColumn(name, before(value, "block", *keys, chunk))
+    return inside.join(totals, same).withColumn(name, F.col(name) + F.col(base)).select(*table.columns, name)
+
+
 def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, end: int = 0, length: int = LENGTH, window: int = WINDOW_SEQUENCES, with_ids: bool = False) -> DataFrame:
     """One row for each piece of a document in a sequence.
 
@@ -231,10 +250,8 @@ def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, en
         weight = sum(targets.values()) or 1.0
         given = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v / weight))]) if targets else F.lit(None)
         share = totals.select("source").distinct().withColumn("share", F.coalesce(F.try_element_at(given, F.col("source")), F.lit(0.0)) if targets else F.lit(0.0))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    all_before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    served = totals.withColumn("served", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
-    passed = totals.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.coalesce(F.sum("n").over(all_before), F.lit(0.0)).alias("passed"))
+    served = running(totals, "n", "served", "source")
+    passed = running(totals.groupBy("block").agg(F.sum("n").alias("n")), "n", "passed").select("block", "passed")
     carried = served.join(passed, "block").join(share.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     none = F.lit(None)
     opening = carried.select("block", "source", none.cast("long").alias("doc_id"), none.cast("long").alias("start"), none.cast("long").alias("doc_tokens"), none.cast("binary").alias("ids"), "share", (F.col("share") * F.col("passed") - F.col("served")).alias("deficit"), F.lit(0).alias("order"))

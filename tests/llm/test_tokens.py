@@ -151,3 +151,14 @@ def test_given_targets(spark):
     share = sum(p["length"] for p in first if p["doc_id"] % 2) / sum(p["length"] for p in first)
     assert abs(share - 0.75) < 0.01
     check_pieces(pieces, [(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_running_sums(spark, monkeypatch):
+    """Over chunks of blocks, with a null source and blocks that some sources lack."""
+    monkeypatch.setattr(packing, "CHUNK", 4)
+    rng = random.Random(4)
+    rows = [(b, s, float(rng.randint(1, 9))) for b in range(30) for s in ("a", "b", None) if rng.random() < 0.7]
+    table = spark.createDataFrame(rows, "block long, source string, n double").repartition(5)
+    got = sorted(map(str, packing.running(table, "n", "served", "source").collect()))
+    want = [(b, s, n, float(sum(m for c, t, m in rows if t == s and c < b))) for b, s, n in rows]
+    assert got == sorted(str(r) for r in spark.createDataFrame(want, "block long, source string, n double, served double").collect())
