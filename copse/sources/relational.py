@@ -29,7 +29,9 @@ def label(rows: DataFrame, keys: list[str], leaf: str) -> DataFrame:
     whole = Window.partitionBy("doc_id").orderBy(*order)
     size = F.when(F.col(leaf).isNotNull(), F.lit(1))
     for d in reversed(range(len(keys) + 1)):
-        size = size.when(F.col("_depth") == d, F.count("*").over(Window.partitionBy("doc_id", *keys[:d])))
+        # ordered like the window of the whole document, so that one sort serves all of them
+        below = Window.partitionBy("doc_id", *keys[:d]).orderBy(*order[d:]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        size = size.when(F.col("_depth") == d, F.count("*").over(below))
     numbered = placed.withColumn("_size", size).withColumn("start", (2 * F.row_number().over(whole) - F.col("level")).cast("int"))
     seen = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     above = [F.last(F.when(F.col("level") == k, F.col("start")), ignorenulls=True).over(seen) for k in range(1, len(keys) + 2)]
@@ -38,6 +40,13 @@ def label(rows: DataFrame, keys: list[str], leaf: str) -> DataFrame:
     return out.withColumn("parent_start", F.get("_path", F.col("level") - 2)).select(*[F.col(f.name).cast(f.dataType) for f in NODE])
 
 
+def _nodes(rows: DataFrame, keys: dict[str, Column], element: Column, *attributes: Column) -> DataFrame:
+    """For label(): of each row, read once, an element and its attributes, which are its leaves 1, 2, ..."""
+    node = lambda i, tag: F.struct((F.lit(i) if i else F.lit(None)).cast("int").alias("leaf"), tag.alias("tag"), F.lit("attribute" if i else "element").alias("kind"))
+    made = F.inline(F.array(*[node(i, tag) for i, tag in enumerate((element, *attributes))]))
+    return rows.select("doc_id", *[k.alias(name) for name, k in keys.items()], made)
+
+
 def sales_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document a customer: customer > order > line, with leaves for segment, status, priority and return flag.
 
@@ -53,19 +62,14 @@ def _sales(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     """The tree of lines (l_orderkey, n, flag) and what is above them."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     none = F.lit(None).cast("long")
-    shape = lambda df, o, line, leaf, tag, kind: df.select(F.col("doc_id"), o.alias("o"), line.alias("l"), leaf.cast("int").alias("leaf"), tag.alias("tag"), F.lit(kind).alias("kind"))
     customer = read("customer").select(F.col("c_custkey").alias("doc_id"), "c_mktsegment")
     orders = read("orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", "o_orderstatus", "o_orderpriority")
     lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("doc_id", "o_orderkey", "n", "flag")
     o, n = F.col("o_orderkey"), F.col("n")
     parts = [
-        shape(customer, none, none, none, F.lit("customer"), "element"),
-        shape(customer, none, none, F.lit(1), F.concat(F.lit("segment="), "c_mktsegment"), "attribute"),
-        shape(orders, o, none, none, F.lit("order"), "element"),
-        shape(orders, o, none, F.lit(1), F.concat(F.lit("status="), "o_orderstatus"), "attribute"),
-        shape(orders, o, none, F.lit(2), F.concat(F.lit("priority="), "o_orderpriority"), "attribute"),
-        shape(lines, o, n, none, F.lit("line"), "element"),
-        shape(lines, o, n, F.lit(1), F.concat(F.lit("flag="), "flag"), "attribute"),
+        _nodes(customer, {"o": none, "l": none}, F.lit("customer"), F.concat(F.lit("segment="), "c_mktsegment")),
+        _nodes(orders, {"o": o, "l": none}, F.lit("order"), F.concat(F.lit("status="), "o_orderstatus"), F.concat(F.lit("priority="), "o_orderpriority")),
+        _nodes(lines, {"o": o, "l": n}, F.lit("line"), F.concat(F.lit("flag="), "flag")),
     ]
     return label(reduce(DataFrame.unionByName, parts), ["o", "l"], "leaf")
 
@@ -74,13 +78,9 @@ def chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document a conversation: chat > turn > role. Each row is a turn; those with one number come in the order of their roles."""
     place = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")))
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.row_number().over(place).alias("turn"), "role")
-    none = F.lit(None)
-    shape = lambda df, turn, leaf, tag, kind: df.select("doc_id", turn.cast("long").alias("turn"), leaf.cast("int").alias("leaf"), tag.alias("tag"), F.lit(kind).alias("kind"))
-    parts = [
-        shape(rows.select("doc_id").distinct(), none, none, F.lit("chat"), "element"),
-        shape(rows, F.col("turn"), none, F.lit("turn"), "element"),
-        shape(rows, F.col("turn"), F.lit(1), F.coalesce("role", F.lit("")), "attribute"),
-    ]
+    chats = rows.select("doc_id").distinct()
+    turn = F.col("turn").cast("long")
+    parts = [_nodes(chats, {"turn": F.lit(None).cast("long")}, F.lit("chat")), _nodes(rows, {"turn": turn}, F.lit("turn"), F.coalesce("role", F.lit("")))]
     return label(reduce(DataFrame.unionByName, parts), ["turn"], "leaf")
 
 
@@ -88,13 +88,7 @@ def geo_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document a region: region > nation, by name."""
     region = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("doc_id"), "r_name")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").cast("long").alias("doc_id"), F.col("n_nationkey").cast("long").alias("n"), "n_name")
-    none = F.lit(None)
-    parts = [
-        region.select("doc_id", none.cast("long").alias("n"), none.cast("int").alias("leaf"), F.lit("region").alias("tag"), F.lit("element").alias("kind")),
-        region.select("doc_id", none.cast("long").alias("n"), F.lit(1).alias("leaf"), F.col("r_name").alias("tag"), F.lit("attribute").alias("kind")),
-        nation.select("doc_id", "n", none.cast("int").alias("leaf"), F.lit("nation").alias("tag"), F.lit("element").alias("kind")),
-        nation.select("doc_id", "n", F.lit(1).alias("leaf"), F.col("n_name").alias("tag"), F.lit("attribute").alias("kind")),
-    ]
+    parts = [_nodes(region, {"n": F.lit(None).cast("long")}, F.lit("region"), F.col("r_name")), _nodes(nation, {"n": F.col("n")}, F.lit("nation"), F.col("n_name"))]
     return label(reduce(DataFrame.unionByName, parts), ["n"], "leaf")
 
 
