@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from copse.sources.shared import stored
+from copse.sources.shared import numbered
 
 PARTS = ("start", "end", "level", "tag")
 
@@ -60,21 +60,6 @@ def sort(witnesses: DataFrame, i: int) -> DataFrame:
     return witnesses.orderBy(*order(witnesses, i))
 
 
-def numbered(table: DataFrame, name: str, *keys: Column) -> DataFrame:
-    """table with its rows' places, from 1, in the order of keys.
-
-    The table is sorted by ranges and stored; a row's place is its place in its part and the rows of the parts before.
-    No task sees more than its part, and only one number a part is added up and broadcast.
-    """
-    at, part, n, before = (f"_{name}_{x}" for x in ("at", "part", "n", "before"))
-    placed = stored(table.orderBy(*keys).withColumn(at, F.monotonically_increasing_id()), "numbered")
-    in_part, which = F.col(at).bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright(F.col(at), 33)
-    sizes = placed.groupBy(which.alias(part)).agg(F.count("*").alias(n))
-    earlier = F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(part, F.coalesce(earlier, F.lit(0)).alias(before))
-    return placed.join(F.broadcast(offsets), which == F.col(part)).withColumn(name, in_part + F.col(before) + 1).drop(at, part, before)
-
-
 def group(witnesses: DataFrame, i: int) -> DataFrame:
     """GRP i: witnesses with their group's number (groups in order of the tag at position i) and their place in it.
 

@@ -3,7 +3,8 @@
 With the 1-based preorder rank `pre` of a node in its document, its level and the number of nodes in its subtree, itself
 included: start = 2 pre - level, end = start + 2 size - 1. The rank is one window over the document's key columns, the
 sizes are counts by key prefix, and parents are the last node seen one level up; all of them share one partitioning by
-document, so a tree costs one shuffle.
+document, so a tree costs one shuffle. Where some document has more than LARGE nodes, which would be one task, ranks come
+from a range sort of the whole table instead, and sizes and ancestors from aggregates by key prefix; labels are the same.
 """
 
 from __future__ import annotations
@@ -14,10 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copse.sources.schema import NODE
+from copse.sources.shared import numbered
 from copse.sources.xml import shred
 
 
-def label(rows: DataFrame, keys: list[str], leaf: str) -> DataFrame:
+#: Nodes of a document that one task labels.
+LARGE = 1 << 22
+
+
+def label(rows: DataFrame, keys: list[str], leaf: str, large: bool | None = None) -> DataFrame:
     """The node table of rows (doc_id, *keys, leaf, tag, kind).
 
     A node's place is its keys, null from some key on; nodes with equal keys and no leaf number are inner nodes, whose leaf
@@ -26,6 +32,8 @@ def label(rows: DataFrame, keys: list[str], leaf: str) -> DataFrame:
     depth = reduce(lambda a, b: a + b, [F.col(k).isNotNull().cast("int") for k in keys], F.lit(0))
     placed = rows.withColumn("_depth", depth).withColumn("level", F.col("_depth") + 1 + F.col(leaf).isNotNull().cast("int"))
     order = [F.col(c).asc_nulls_first() for c in (*keys, leaf)]
+    if large:
+        return _label_split(placed, keys, leaf, order)
     whole = Window.partitionBy("doc_id").orderBy(*order)
     size = F.when(F.col(leaf).isNotNull(), F.lit(1))
     for d in reversed(range(len(keys) + 1)):
@@ -40,6 +48,30 @@ def label(rows: DataFrame, keys: list[str], leaf: str) -> DataFrame:
     return out.withColumn("parent_start", F.get("_path", F.col("level") - 2)).select(*[F.col(f.name).cast(f.dataType) for f in NODE])
 
 
+def _label_split(placed: DataFrame, keys: list[str], leaf: str, order: list[Column]) -> DataFrame:
+    """label() without a window over a document.
+
+    Rows meet the first place and the number of nodes below each of their key prefixes in joins of stored tables, whose hot
+    keys adaptive execution splits.
+    """
+    inner = F.col(leaf).isNull()
+    out = ranked = numbered(placed, "_no", F.col("doc_id").asc_nulls_first(), *order)
+    for d in range(len(keys) + 1):
+        prefix = ["doc_id", *keys[:d]]
+        head = F.min(F.when(inner & (F.col("_depth") == d), F.col("_no")))
+        groups = ranked.filter(F.col("_depth") >= d).groupBy(*[F.col(c).alias(f"_g{d}_{c}") for c in prefix]).agg(F.min("_no").alias(f"_first{d}"), head.alias(f"_head{d}"), F.count("*").alias(f"_n{d}"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{d}_{c}")) for c in prefix])
+        out = out.join(groups, same, "left").drop(*[f"_g{d}_{c}" for c in prefix])
+    begin = lambda no, level: (2 * (no - F.col("_first0") + 1) - level).cast("int")
+    size = F.when(~inner, F.lit(1))
+    for d in range(len(keys) + 1):
+        size = size.when(F.col("_depth") == d, F.col(f"_n{d}"))
+    path = F.array(*[begin(F.col(f"_head{d}"), F.lit(d + 1)) for d in range(len(keys) + 1)])
+    out = out.withColumn("start", begin(F.col("_no"), F.col("level"))).withColumn("end", (F.col("start") + 2 * size - 1).cast("int"))
+    out = out.withColumn("ancestors", F.slice(path, 1, F.col("level") - 1)).withColumn("parent_start", F.get(path, F.col("level") - 2))
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in NODE])
+
+
 def _nodes(rows: DataFrame, keys: dict[str, Column], element: Column, *attributes: Column) -> DataFrame:
     """For label(): of each row, read once, an element and its attributes, which are its leaves 1, 2, ..."""
     node = lambda i, tag: F.struct((F.lit(i) if i else F.lit(None)).cast("int").alias("leaf"), tag.alias("tag"), F.lit("attribute" if i else "element").alias("kind"))

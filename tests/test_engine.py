@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from copse import queries
 from copse.functions.interval import Label
-from copse.sources import layout
+from copse.sources import layout, relational
+from copse.sources.schema import NODE
 from copse.sources.xml import shred
 from copse.streaming.shredding import shred_stream, store_stream
 
@@ -49,6 +50,27 @@ def test_every_row_is_a_node(spark, sf_dir, tmp_path):
     assert [t for _, t in got] == ["assistant", "user", "user", ""]
 
 
+@pytest.mark.parametrize("tree", ["sales", "chat", "geo"])
+def test_large_documents_are_split(spark, sf_dir, tree, monkeypatch):
+    """The labels are those of one task a document."""
+    rows = lambda: sorted(map(str, queries.TREES[tree](spark, sf_dir).select(sorted(NODE.names)).collect()))
+    whole = rows()
+    monkeypatch.setattr(relational, "LARGE", 0)
+    assert rows() == whole and len(whole) > 0
+
+
+def test_orders_without_a_customer(spark, sf_dir, tmp_path, monkeypatch):
+    """Documents whose root is missing get the same labels either way; no documents give none."""
+    for t, where in (("customer", "c_custkey % 2 = 0"), ("orders", "true"), ("lineitem", "true")):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").filter(where).write.parquet(str(tmp_path / f"{t}.parquet"))
+    labels = lambda tree: sorted(map(str, tree.select("doc_id", "start", "end", "level", "tag", "parent_start", "ancestors").collect()))
+    whole = labels(queries.sales_tree(spark, str(tmp_path)))
+    monkeypatch.setattr(relational, "LARGE", 0)
+    assert labels(queries.sales_tree(spark, str(tmp_path))) == whole
+    empty = spark.createDataFrame([], "doc_id long, k long, leaf int, tag string, kind string")
+    assert relational.label(empty, ["k"], "leaf", large=True).count() == 0
+
+
 def test_relations_of_all_levels(spark):
     """Counted without pairs as by comparing all pairs."""
     pages = ["<a><b><c>x</c><c/></b><b/></a>", "<a/>", "<a><a><a><a>y</a></a></a><b k='1'/></a>"]
