@@ -29,22 +29,26 @@ from copse.llm.common import LOWER_TABLE, discard, free_name, materialise, read,
 COUNTERS = 2048
 
 
-def _with_digest(text: str, name: str):
+def _with_digest(text: str, name: str, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = hashlib.sha256
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text)).cast(pa.binary())
-            out = pa.array([sha((t.as_py() or b"").translate(LOWER_TABLE)).digest() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, name])
+            at = b.schema.get_field_index(text)
+            out = pa.array([sha((t.as_py() or b"").translate(LOWER_TABLE)).digest() for t in b.column(at).cast(pa.binary())], pa.binary())
+            kept = [i for i in range(b.num_columns) if keep_text or i != at]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), out], [*(b.schema.names[i] for i in kept), name])
 
     return run
 
 
-def with_digest(docs: DataFrame, text: str = "text", name: str = "digest") -> DataFrame:
-    """docs with the SHA-256 of each normalised text; the text column has to be the only one of its name."""
+def with_digest(docs: DataFrame, text: str = "text", name: str = "digest", keep_text: bool = True) -> DataFrame:
+    """docs with the SHA-256 of each normalised text; the text column has to be the only one of its name.
+
+    Without keep_text the digest takes the text's place, so that no text travels back from Python.
+    """
     ship(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
-    return docs.mapInArrow(_with_digest(text, name), schema)
+    schema = T.StructType([*(f for f in docs.schema.fields if keep_text or f.name != text), T.StructField(name, T.BinaryType())])
+    return docs.mapInArrow(_with_digest(text, name, keep_text), schema)
 
 
 def merge_counts(counts: dict, k: int) -> dict:
@@ -95,7 +99,7 @@ def decide(digests: DataFrame, k: int = COUNTERS) -> DataFrame:
 
 def digest_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
-    return materialise(with_digest(rows).select("doc_id", "digest"), "dedup-digests")
+    return materialise(with_digest(rows, keep_text=False), "dedup-digests")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = COUNTERS) -> DataFrame:
@@ -127,7 +131,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = decide(digest_table(read(spark, sf_dir, "documents")))
-    return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return decided.select("doc_id", "keep_id", "group_size", "kept", F.translate(F.hex("digest"), "ABCDEF", "abcdef").alias("text_sha256"))
 
 
 ORACLE = """

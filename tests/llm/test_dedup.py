@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
@@ -57,6 +58,18 @@ def test_dedup_keeps_one_row_of_each_text(spark, hard):
     assert kept == sorted(best.items())
 
 
+def test_op1_spares_the_executors_heap(spark, folder, monkeypatch):
+    """No text travels back from Python, and the hex digits avoid lower(), whose first call title-cases all of Unicode (about 3 GB of garbage)."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    got = exact_dedup.op1_exact_dedup(spark, folder)
+    assert "lower(" not in plan(got)
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert sorted((r["doc_id"], r["text_sha256"]) for r in got.collect()) == sorted((r["doc_id"], hashlib.sha256(lower_az(r["text"]).encode()).hexdigest()) for r in texts)
+    monkeypatch.setattr(exact_dedup, "materialise", lambda df, name: df)
+    returned = re.findall(r"MapInArrow .*\[([^]]*)\]", plan(exact_dedup.digest_table(spark.read.parquet(f"{folder}/documents.parquet"))))
+    assert [re.findall(r"(\w+)#", x) for x in returned] == [["doc_id", "digest"]]
+
+
 def brute_fingerprint(text: str | None, k: int = 4) -> int:
     w = re.findall(r"[^\x20\x09-\x0d]+", lower_az(text))
     shingles = [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
