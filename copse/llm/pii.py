@@ -539,7 +539,8 @@ def redact(docs: DataFrame, text: str = "text", tagger: Tagger | None = None) ->
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base_sha256 are of the base spans, which the contract fixes; the column spans has the tagger's, too."""
     found_ = find(read(spark, sf_dir, "documents").select("doc_id", "text"))
     line = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found_.select("doc_id", *[count(k) for k in KINDS], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 
@@ -141,3 +142,25 @@ def test_very_long_span():
     address = "someone.with.a.very.long.name.and.many.more.parts.of.it." + "x" * 300 + "@" + "mail." * 60 + "example.org"
     (base, spans), = pii.all_spans([f"write to {address} today"], pii.default_tagger())
     assert base == [("email", 9, 9 + len(address))] and spans == base
+
+
+def test_query_counts_base_spans(spark, tmp_path):
+    """Spans that the tagger adds are in the column spans alone."""
+    texts = [
+        "Write to maria.lopez@correo.es or ring +34 612 345 678 instead.",
+        "Ring me on 07700 900461 after work.",
+        "He read out 3782 822463 10005 over the phone.",
+        "call +1 (578) 555-6437 4918187128635271 now, from 10.0.0.1 or 10.0.0.256",
+        "Card 4444 3333 2222 1111, a@b.de, c@d.fr",
+        "",
+        None,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in pii.op5_pii(spark, str(tmp_path)).collect()}
+    want = {0: (1, 0, 0, 1), 1: (0, 0, 0, 0), 2: (0, 0, 0, 0), 3: (0, 1, 0, 0), 4: (2, 0, 1, 0), 5: (0, 0, 0, 0), 6: (0, 0, 0, 0)}
+    assert {i: tuple(r[f"n_{k}"] for k in pii.KINDS) for i, r in got.items()} == want
+    for i, r in got.items():
+        base = pii.base_spans(texts[i] or "")
+        assert r["base_sha256"] == hashlib.sha256(pii.written(base).encode()).hexdigest()
+        assert set(pii.written(base).split(",")) <= set(r["spans"].split(",")) or not base
+    assert got[1]["spans"] == "phone:11:23" and got[2]["spans"] == "card:12:29"
